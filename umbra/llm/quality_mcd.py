@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm._common import WORD_GAP, checkpointed, sized_broadcast
+from umbra.llm._common import WORD_GAP, checkpointed, sized_broadcast, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MIN_GROUP = 50, 50
@@ -179,6 +179,6 @@ def quality(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
 
 def keep_good(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that pass; statistics are computed twice rather than texts shuffled."""
-    thin = checkpointed(base_statistics(docs.select(key, text, "lang", "source"), text).drop(text))
-    return quality_verdicts(base_statistics(docs, text), *estimates(thin, key), key).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that pass. Statistics are written beside the texts: they cost more than a copy does."""
+    stats = written(base_statistics(docs, text))
+    return quality_verdicts(stats, *estimates(stats, key), key).where("kept").select(*docs.columns)
