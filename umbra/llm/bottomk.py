@@ -7,12 +7,12 @@ order of values), so that a passage in many documents doesn't put them all in on
 a pair at the threshold apart with a probability of about 1e-7. Shingle sets of fewer than 6 can't be 0.85 similar
 without being equal and get no lists.
 
-Inside a list nothing is paired with everything: each list has a centre, by the list's own order, and members are
+Inside a list nothing is paired with everything: each list has a centre, its smallest id, and members are
 paired with it. Union sketches estimate the pairs' similarity (k smallest of both, those in both), pairs that are
-plainly below are dropped (five standard errors), and full sets confirm the rest. Each round confirms, for every
-class, the best pair between different components that is still open; links merge components, and pairs inside a
-component need no confirming. In the end the lists that still hold several components pair the members of all but
-their largest component with the members of other components, so no pair of the lists is left out.
+plainly below are dropped (five standard errors), and full sets confirm the rest: first the best pair of every class,
+then the other pairs between components, as pairs inside one need no confirming. In the end the lists that still hold
+several components pair the members of all but their largest component with the members of other components, so no
+pair of the lists is left out.
 
 Components come from min-label propagation over links with pointer jumping. Nulls: null text is an empty set,
 linked with nothing; rows without an id keep their n_shingles, with a null component and kept true. Repeated rows
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm import _hashing
-from umbra.llm._common import checkpointed
+from umbra.llm._common import checkpointed, written
 
 PERCENT, K, ROWS, LISTS = 85, 64, 5, 40
 _ORDERS = _hashing.mix(np.arange(1, LISTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -120,15 +120,15 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """id, comp (smallest id reachable over links a-b) of every node; links is checkpointed."""
-    both = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = checkpointed(nodes.select("id", F.col("id").alias("comp")))
+def components(links: DataFrame) -> DataFrame:
+    """id, comp (smallest id reachable over links a-b) of every linked node; links is checkpointed."""
+    both = links.select("a", "b").union(links.select("b", "a"))
+    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("comp")))
     while True:
-        best = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("seen"))
-        near = labels.join(best, "id", "left").select("id", F.col("comp").alias("old"), F.least("comp", F.coalesce("seen", "comp")).alias("near"))
-        jump = near.select(F.col("id").alias("near"), F.col("near").alias("far"))
-        labels = checkpointed(near.join(jump, "near", "left").select("id", "old", F.least("near", F.coalesce("far", "near")).alias("comp")))
+        seen = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("seen"))
+        near = labels.join(seen, "id").select("id", F.col("comp").alias("old"), F.least("comp", "seen").alias("near"))
+        jump = labels.select(F.col("id").alias("near"), F.col("comp").alias("far"))
+        labels = checkpointed(near.join(jump, "near").select("id", "old", F.least("near", "far").alias("comp")))
         if labels.where("comp <> old").limit(1).count() == 0:
             return labels.select("id", "comp")
 
@@ -140,43 +140,49 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     found = rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
     classes = checkpointed(found.withColumnRenamed("doc", "id"))
     lists = _inverted(classes.where("n >= 6"))
-    centre = F.min(F.struct(F.xxhash64("lid", "id").alias("h"), "id"))
-    heads = lists.groupBy("lid").agg(F.count("*").alias("size"), centre["id"].alias("head")).where("size > 1").select("lid", "head")
+    # the smallest id of a list: lists of one large group mostly share it, so its members have few centres
+    heads = lists.groupBy("lid").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1").select("lid", "head")
     lists = checkpointed(lists.join(heads, "lid"))
     pairs = lists.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
     thin = classes.select("id", "n", "sketch")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
-    nodes = checkpointed(classes.select("id").distinct())
-    labels = nodes.select("id", F.col("id").alias("comp"))
+    labels = None
     todo = checkpointed(_plausible(pairs, thin))
     if todo.limit(1).count():
-        needed = lists.select("id").distinct()
-        sets = checkpointed(_sets(docs, text, key, needed, classes))
-        for stage in ("centres", "rest"):
-            if stage == "rest":
-                todo = checkpointed(_plausible(_cross_pairs(lists, labels), thin))
-            while todo.limit(1).count():
-                # for every class its best open pair; the same pair is often best for both
-                ends = todo.select("a", "b", "est", F.explode(F.array("a", "b")).alias("end"))
-                best = ends.groupBy("end").agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-                best = checkpointed(best)
-                links = checkpointed(links.union(_confirm(best, sets)))
-                labels = components(nodes, links)
-                ca = labels.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
-                cb = labels.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-                todo = checkpointed(todo.join(best, ["a", "b"], "left_anti").join(ca, "a").join(cb, "b").where("ca <> cb").select("a", "b", "est"))
-    final = classes.select("set_id", "id").join(labels, "id").select("set_id", "comp")
+        sets = written(_sets(docs, text, key, lists.select("id").distinct(), classes))
+        # for every class its best pair; the same pair is often best for both
+        ends = todo.select("a", "b", "est", F.explode(F.array("a", "b")).alias("end"))
+        best = checkpointed(ends.groupBy("end").agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+        for confirmed in (
+            lambda: _confirm(best, sets),
+            lambda: _confirm(_apart(todo.join(best, ["a", "b"], "left_anti"), labels), sets),
+            lambda: _confirm(_plausible(_cross_pairs(lists, labels), thin), sets),
+        ):
+            links = checkpointed(links.union(confirmed()))
+            labels = components(links)
+    final = classes.select("set_id", "id", F.col("id").alias("comp"))
+    if labels is not None:
+        final = final.drop("comp").join(labels, "id", "left").select("set_id", "id", F.coalesce("comp", "id").alias("comp"))
+    final = final.select("set_id", "comp")
     out = rows.select("doc_id", "n_shingles", "set_id").join(final, "set_id", "left")
     comp = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component yet."""
+    of = lambda x: labels.select(F.col("id").alias(x), F.col("comp").alias(f"c_{x}"))
+    out = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return out.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
+
+
 def _cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components in one list, one of them outside the list's largest component."""
-    placed = checkpointed(lists.select("lid", "id").join(labels, "id"))
+    """Pairs of different components in one list, one of them outside the list's largest component; the list's centre
+    has been tried with everyone."""
+    placed = lists.join(labels, "id", "left").select("lid", "id", "head", F.coalesce("comp", "id").alias("comp"))
     sizes = placed.groupBy("lid", "comp").count()
     largest = sizes.groupBy("lid").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("lid", F.col("m.comp").alias("main"))
-    mixed = placed.join(largest, "lid")
+    mixed = placed.where("id <> head").join(largest, "lid")
     few = mixed.where("comp <> main").select("lid", F.col("id").alias("x"), F.col("comp").alias("cx"))
     return few.join(mixed.select("lid", F.col("id").alias("y"), F.col("comp").alias("cy")), "lid").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
