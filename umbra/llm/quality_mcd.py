@@ -72,10 +72,10 @@ def _vectors(stats: DataFrame, key: str) -> DataFrame:
         F.to_json(F.struct(F.col("lang").cast("string").alias("l"), F.col("source").cast("string").alias("s"))).alias("__own"),
         F.to_json(F.struct(F.col("lang").cast("string").alias("l"))).alias("__lang"),
         F.pmod(F.xxhash64(key, "n_words", "word_chars"), F.lit(SALTS)).cast("int").alias("__salt"),
-        whole("ln(word_chars / n_words)").alias("__x0"),
-        whole("sqrt(n_symbols / word_chars)").alias("__x1"),
-        whole("sqrt(n_dup_lines / __n_lines)").alias("__x2"),
-        whole("sqrt(n_repeat_words / n_words)").alias("__x3"),
+        whole("ln(try_divide(word_chars, n_words))").alias("__x0"),
+        whole("sqrt(try_divide(n_symbols, word_chars))").alias("__x1"),
+        whole("sqrt(try_divide(n_dup_lines, __n_lines))").alias("__x2"),
+        whole("sqrt(try_divide(n_repeat_words, n_words))").alias("__x3"),
     )
 
 
