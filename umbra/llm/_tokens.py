@@ -7,11 +7,12 @@ tokens, one after another, are the text's tokens. Pieces repeat, and each distin
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
 #: Distinct pieces that a Python worker remembers; beyond it the memory starts anew.
-MAX_PIECES = 400_000
+MAX_PIECES = 1_200_000
 _LOADED: dict[str, object] = {}
 _COUNTS: dict[str, dict[str, int]] = {}
 _WORDS: dict[str, "WordIds"] = {}
@@ -77,34 +78,41 @@ class WordIds:
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
 
-    def _put(self, word: str, ids) -> None:
-        i, n = len(self.at), len(ids)
-        if i == len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * i), np.resize(self.sizes, 2 * i)
-        while self.used + n > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + n] = ids
-        self.starts[i], self.sizes[i], self.at[word] = self.used, n, i
-        self.used += n
-
-    def _get(self, word: str) -> np.ndarray:
+    def _get(self, word: str) -> list[int]:
         i = self.at[word]
-        return self.flat[self.starts[i] : self.starts[i] + self.sizes[i]]
+        return self.flat[self.starts[i] : self.starts[i] + self.sizes[i]].tolist()
+
+    def _append(self, words: list[str], ids: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        first, total = len(self.at), int(sizes.sum())
+        while first + len(words) > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        while self.used + total > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.sizes[first : first + len(words)] = sizes
+        self.starts[first : first + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.at.update(zip(words, range(first, first + len(words)), strict=True))
+        self.used += total
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.at]
+        new = list(words.difference(self.at))
         if len(self.at) + len(new) > MAX_PIECES:
             self._clear()
             new = list(words)
-        split = {w: (m[1].lower(), m[2]) for w in new if (m := _SIMPLE.fullmatch(w))}
-        plain = {p for pair in split.values() for p in pair if p and p not in self.at} | {w for w in new if w not in split}
-        todo = list(plain)
-        for i in range(0, len(todo), 4096):
-            for w, e in zip(todo[i : i + 4096], self.tokenizer.encode_batch(todo[i : i + 4096], add_special_tokens=False), strict=True):
-                self._put(w, e.ids)
-        for w, (stem, mark) in split.items():
-            if w not in self.at:
-                self._put(w, np.concatenate([self._get(stem), self._get(mark)]) if mark else self._get(stem))
+        parts = [(w, m[1].lower(), m[2]) if (m := _SIMPLE.fullmatch(w)) else (w, w, "") for w in new]
+        known: dict[str, list[int]] = {}
+        todo = list({p for _, stem, mark in parts for p in (stem, mark) if p and p not in self.at})
+        for i in range(0, len(todo), 8192):
+            known.update(zip(todo[i : i + 8192], (e.ids for e in self.tokenizer.encode_batch(todo[i : i + 8192], add_special_tokens=False)), strict=True))
+
+        def ids(p: str) -> list[int]:
+            found = known.get(p)
+            return self._get(p) if found is None else found
+
+        self._append(new, [ids(stem) + ids(mark) if mark else ids(stem) for _, stem, mark in parts])
+        rest = [p for p in known if p not in self.at]  # stems serve later words
+        self._append(rest, [known[p] for p in rest])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, one after another, and each text's number of ids."""
