@@ -10,9 +10,10 @@ without being equal and get no lists.
 Inside a list nothing is paired with everything: each list has a centre, its smallest id, and members are
 paired with it. Union sketches estimate the pairs' similarity (k smallest of both, those in both), pairs that are
 plainly below are dropped (five standard errors), and full sets confirm the rest: first the best pair of every class,
-then the other pairs between components, as pairs inside one need no confirming. In the end the lists that still hold
-several components pair the members of all but their largest component with the members of other components, so no
-pair of the lists is left out.
+then the other pairs between components, as pairs inside one need no confirming. In the end everything that shares a
+list with one centre makes a bundle, and bundles that still hold several components are compared exactly: parts of at
+most ``CHUNK_ROWS`` sets and about ``CHUNK_VALUES`` values meet pairwise, and a product of 0/1 matrices counts the
+intersections of all their sets. Only links leave a task, so no pair of the lists is left out and none becomes a row.
 
 Components come from min-label propagation over links with pointer jumping. Nulls: null text is an empty set,
 linked with nothing; rows without an id keep their n_shingles, with a null component and kept true. Repeated rows
@@ -32,6 +33,8 @@ from umbra.llm import _hashing
 from umbra.llm._common import checkpointed, written
 
 PERCENT, K, ROWS, LISTS = 85, 64, 5, 40
+#: Sets and values in a part of a bundle.
+CHUNK_ROWS, CHUNK_VALUES = 512, 1 << 21
 _ORDERS = _hashing.mix(np.arange(1, LISTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -143,7 +146,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     # the smallest id of a list: lists of one large group mostly share it, so its members have few centres
     heads = lists.groupBy("lid").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1").select("lid", "head")
     lists = checkpointed(lists.join(heads, "lid"))
-    pairs = lists.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    pairs = checkpointed(lists.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
     thin = classes.select("id", "n", "sketch")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     labels = None
@@ -156,7 +159,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         for confirmed in (
             lambda: _confirm(best, sets),
             lambda: _confirm(_apart(todo.join(best, ["a", "b"], "left_anti"), labels), sets),
-            lambda: _confirm(_plausible(_cross_pairs(lists, labels), thin), sets),
+            lambda: _cross_links(_contested(pairs, labels, thin), sets),
         ):
             links = checkpointed(links.union(confirmed()))
             labels = components(links)
@@ -176,15 +179,67 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
 
 
-def _cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components in one list, one of them outside the list's largest component; the list's centre
-    has been tried with everyone."""
-    placed = lists.join(labels, "id", "left").select("lid", "id", "head", F.coalesce("comp", "id").alias("comp"))
-    sizes = placed.groupBy("lid", "comp").count()
-    largest = sizes.groupBy("lid").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("lid", F.col("m.comp").alias("main"))
-    mixed = placed.where("id <> head").join(largest, "lid")
-    few = mixed.where("comp <> main").select("lid", F.col("id").alias("x"), F.col("comp").alias("cx"))
-    return few.join(mixed.select("lid", F.col("id").alias("y"), F.col("comp").alias("cy")), "lid").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _contested(pairs: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """head, id, comp, main, chunks of the members of bundles that hold several components. A bundle is what shares a
+    list with its centre, so members of one list are always together in one; ``chunks``: into how many parts it goes."""
+    members = pairs.select(F.col("a").alias("head"), F.col("b").alias("id"))
+    members = members.union(members.select("head", F.col("head").alias("id")).distinct())
+    placed = members.join(labels, "id", "left").select("head", "id", F.coalesce("comp", "id").alias("comp")).join(classes.select("id", "n"), "id")
+    sums = placed.groupBy("head", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("values"))
+    bundles = sums.groupBy("head").agg(F.sum("rows").alias("rows"), F.sum("values").alias("values"), F.max(F.struct("rows", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
+    parts = F.ceil(F.greatest(F.col("rows") / CHUNK_ROWS, F.col("values") / CHUNK_VALUES)).cast("int")
+    return placed.join(bundles.select("head", F.col("m.comp").alias("main"), parts.alias("chunks")), "head").select("head", "id", "comp", "main", "chunks").distinct()
+
+
+def compare(ids: np.ndarray, comps: np.ndarray, side: np.ndarray, sets: list[np.ndarray], main: int) -> list[tuple[int, int]]:
+    """Links between components among some sets, by exact intersections: for each set one link to each component.
+
+    ``side`` is 0 or 1: with both present only pairs of different sides count. Values found in one set only can't be
+    shared; the others are the columns of a 0/1 matrix, and its product with itself holds all intersections."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(code, minlength=len(values)) > 1
+    column = np.cumsum(often) - 1
+    row = np.repeat(np.arange(len(sets)), sizes)[often[code]]
+    code = column[code[often[code]]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    kind = np.float32 if sizes.max() < 1 << 24 else np.float64  # counts stay exact
+    both = np.zeros((len(sets), len(sets)), kind)
+    for low in range(0, int(often.sum()), 2048):
+        i, j = np.searchsorted(code, [low, low + 2048])
+        block = np.zeros((len(sets), 2048), kind)
+        block[row[i:j], code[i:j] - low] = 1
+        both += block @ block.T
+    shared = both.astype(np.int64)
+    linked = 100 * shared >= PERCENT * (sizes[:, None] + sizes[None, :] - shared)
+    linked &= comps[:, None] != comps[None, :]
+    if side.min() != side.max():
+        linked &= side[:, None] != side[None, :]
+    out = []
+    for x in np.flatnonzero(linked.any(axis=1) & (comps != main)):
+        y = np.flatnonzero(linked[x])
+        out += [(int(ids[x]), int(ids[z])) for z in y[np.unique(comps[y], return_index=True)[1]]]
+    return out
+
+
+def _cross_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components of each bundle. A bundle's parts meet pairwise, in tasks of at most two parts; no
+    pair becomes a row."""
+    part = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    split = members.withColumn("part", part).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    split = split.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    # parts without anything outside the main component have nothing to ask of each other
+    asks = split.where("comp <> main").select("head", "low", "high").distinct()
+    rows = split.join(asks, ["head", "low", "high"]).join(sets, "id").select("head", "low", "high", "id", "comp", "main", (F.col("part") == F.col("high")).cast("int").alias("side"), "shingles")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comps, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        found = compare(ids, comps, side, sets, table.column("main")[0].as_py())
+        return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
+
+    return rows.groupBy("head", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, text: str, key: str, needed: DataFrame, classes: DataFrame) -> DataFrame:
