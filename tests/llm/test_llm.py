@@ -201,6 +201,37 @@ def test_near_duplicates(docs, rows, empty):
     assert bottomk.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_contested(spark, monkeypatch):
+    """A large group whose members share lists and mostly don't link: its parts are compared, and no link is lost."""
+    monkeypatch.setattr(bottomk, "CHUNK_ROWS", 16)
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(160)]
+    texts = []
+    for _ in range(70):
+        edited = list(base)
+        for at in rnd.sample(range(0, 160, 6), rnd.choice([1, 4, 4, 5])):
+            edited[at] = f"e{rnd.randint(0, 10**6)}"
+        texts.append(" ".join(edited))
+    texts += texts[:3]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    top = list(range(len(sets)))
+    apart = 0
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            x, y = sorted((top[a], top[b]))
+            top = [x if v == y else v for v in top]
+        else:
+            apart += 1
+    assert apart > 1000 and 1 < len(set(top)) < len(sets) - 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("comp", F.lit("clash"))
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in bottomk.near_duplicates(df).collect()}
+    assert got == {i: (c, i == c) for i, c in enumerate(top)}
+    arrays = [np.unique(np.array([hash(x) for x in s], np.int64).view(np.uint64)) for s in sets]
+    ids, comps = np.arange(len(sets)), np.arange(len(sets))
+    found = bottomk.compare(ids, comps, np.zeros(len(sets), np.int64), arrays, -1)
+    assert {tuple(sorted(p)) for p in found} == {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+
+
 def test_mixing(docs, spark, empty):
     out = mixing.mix(docs, thin=True).collect()
     again = mixing.mix(docs.repartition(5), thin=True).collect()
