@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from umbra.llm import ivfpq
+from umbra.llm import ivfpq, license_patience
 
 
 def recall(frame, queries, k=20):
@@ -26,3 +26,17 @@ def test_neighbours_in_64_dimensions(spark):
     x /= np.linalg.norm(x, axis=1)[:, None]
     made = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     assert recall(made, made.where("vec_id % 20 = 0")) >= 0.9  # lists of about 130
+
+
+def test_license_with_further_copies():
+    one = "alpha beta Released under the MIT License. gamma "
+    rest = "delta epsilon zeta eta theta iota kappa"
+    assert [x[:3] for x in license_patience.find_licenses(one + rest)] == [("mit-line", 5, 5)]
+    for n in (2, 3, 40):
+        assert [x[:3] for x in license_patience.find_licenses(one * n + rest)] == [("mit-line", 5, 5)]
+    mit = license_patience.TEMPLATES["mit"].replace("merge, publish", "merge publicly").replace("is furnished", "gets")
+    near = f"start of a file {mit} some code {mit} tail of a file"
+    assert "mit" in {x[0] for x in license_patience.find_licenses(near)}
+    assert "mit" in {x[0] for x in license_patience.find_licenses("intro " + f"{mit} " * 4 + "end of it")}
+    with_mpl = "x y " + (license_patience.TEMPLATES["mpl-2.0-header"] + " code ") * 2 + "z"
+    assert "mpl-2.0-header" in {x[0] for x in license_patience.find_licenses(with_mpl)}

@@ -5,9 +5,12 @@ alignment; the longest increasing subsequence of their positions is kept, and th
 in the same way, where further words have become unique. Equal words next to an anchor are taken along first. The
 coverage of a template is the share of its words that the alignment matches.
 
-The text is aligned in a window: the stretch that holds the template's rarest shared words, one template length
-wide on each side, so that words elsewhere in a long text don't hide a notice. A template is tried only if the
-text's set of words can reach the coverage, which loses nothing. Null text: no words, no rows. Null ids, repeated
+The text is aligned in windows about one template length wide on each side of a seed, a text word held against its
+place in the template, so that words elsewhere in a long text don't hide a notice. Seeds are the occurrences of the
+template's word that is rarest in the text.
+Each seed has its own windows: up to the seed word's neighbouring occurrences, so that a further copy of the notice
+doesn't make its words ambiguous, a tight one, and the uncut one; the best alignment counts. A template is tried only
+if the text's set of words can reach the coverage, which loses nothing. Null text: no words, no rows. Null ids, repeated
 rows: a row for each (row, license) found. Empty table: empty result; further columns are ignored.
 """
 
@@ -96,6 +99,37 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 _TEMPLATE_WORDS = {name: [w for w, _, _ in words(t)] for name, t in TEMPLATES.items()}
 
 
+def _windows(found: list[tuple[str, int, int]], template: list[str], have: Counter, least: float) -> list[tuple[int, int, int, int]]:
+    """(i, j, lo, hi): text word i is held against template word j, and found[lo:hi] is aligned around them."""
+    m = len(template)
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(template):
+        places.setdefault(w, []).append(j)
+    picks = {min((w for w in places if have.get(w)), key=lambda w: (have[w], w))}
+    at: dict[str, list[int]] = {w: [] for w in picks}
+    for i, (w, _, _) in enumerate(found):
+        if w in picks:
+            at[w].append(i)
+    out = set()
+    for w, own in at.items():
+        for n, i in enumerate(own):
+            for r, j in enumerate(places[w]):  # r occurrences in the template before j, the others after it
+                before, after = n - r - 1, n + len(places[w]) - r
+                low, high = max(0, i - j - m), min(len(found), i + 2 * m)
+                cut = (own[before] + 1 if before >= 0 else 0, own[after] if after < len(own) else len(found))
+                near = (max(0, i - j - m // 8), min(len(found), i - j + m + m // 8))
+                for lo, hi in {(low, high), (max(low, cut[0]), min(high, cut[1])), near}:
+                    if lo <= i < hi:
+                        out.add((i, j, lo, hi))
+    return sorted(out)
+
+
+def _seeded(a: list[str], b: list[str], i: int, j: int) -> list[tuple[int, int]]:
+    """Alignment of a with b in which a[i] meets b[j]."""
+    left, right = align(a[:i], b[:j]), align(a[i + 1 :], b[j + 1 :])
+    return [*left, (i, j), *((p + i + 1, q + j + 1) for p, q in right)]
+
+
 def find_licenses(text: str, templates: dict[str, list[str]] = _TEMPLATE_WORDS, least: float = MIN_COVERAGE) -> list[tuple[str, int, int, int, int]]:
     """(license, matched words, template words, start, end) of every template covered by at least ``least``."""
     found = words(text)
@@ -107,21 +141,12 @@ def find_licenses(text: str, templates: dict[str, list[str]] = _TEMPLATE_WORDS,
         need = Counter(template)
         if sum(min(n, have.get(w, 0)) for w, n in need.items()) < least * len(template):
             continue
-        # every occurrence of the rarest shared word may be the notice; its neighbourhoods are tried, merged
-        pick = min((w for w in need if have.get(w)), key=lambda w: (have[w], w))
-        offset = template.index(pick)
-        reach = len(template)
-        windows: list[list[int]] = []
-        for i, (w, _, _) in enumerate(found):
-            if w == pick:
-                lo, hi = max(0, i - offset - reach), min(len(found), i + reach + reach)
-                if windows and lo <= windows[-1][1] and hi - windows[-1][0] <= 8 * reach:
-                    windows[-1][1] = hi
-                else:
-                    windows.append([lo, hi])
         best = (0, 0, 0)
-        for lo, hi in windows:
-            pairs = align([w for w, _, _ in found[lo:hi]], template)
+        for i, j, lo, hi in _windows(found, template, have, least):
+            window = [w for w, _, _ in found[lo:hi]]
+            if best[0] == len(template) or sum((need & Counter(window)).values()) <= best[0]:
+                continue
+            pairs = _seeded(window, template, i - lo, j)
             if len(pairs) > best[0]:
                 best = (len(pairs), found[lo + pairs[0][0]][1], found[lo + pairs[-1][0]][2])
         if best[0] >= least * len(template):
