@@ -40,3 +40,12 @@ def test_license_with_further_copies():
     assert "mit" in {x[0] for x in license_patience.find_licenses("intro " + f"{mit} " * 4 + "end of it")}
     with_mpl = "x y " + (license_patience.TEMPLATES["mpl-2.0-header"] + " code ") * 2 + "z"
     assert "mpl-2.0-header" in {x[0] for x in license_patience.find_licenses(with_mpl)}
+
+
+def test_license_whose_rarest_word_stands_elsewhere():
+    notice = "This work is licensed under a Creative Commons Attribution International License"
+    apart = " ".join(f"w{i}" for i in range(200))
+    for text in (f"{notice} {apart} version 4.0 of it {apart}", f"{apart} version 4.0 {apart} {notice} {apart}"):
+        got = {x[0]: x for x in license_patience.find_licenses(text)}
+        assert got["cc-by-4.0-line"][1:3] == (11, 12)
+        assert text[got["cc-by-4.0-line"][3] : got["cc-by-4.0-line"][4]] == notice

@@ -7,7 +7,7 @@ coverage of a template is the share of its words that the alignment matches.
 
 The text is aligned in windows about one template length wide on each side of a seed, a text word held against its
 place in the template, so that words elsewhere in a long text don't hide a notice. Seeds are the occurrences of the
-template's word that is rarest in the text.
+template's words that are rarest in the text, of so many that a notice with the least coverage must match one of them.
 Each seed has its own windows: up to the seed word's neighbouring occurrences, so that a further copy of the notice
 doesn't make its words ambiguous, a tight one, and the uncut one; the best alignment counts. A template is tried only
 if the text's set of words can reach the coverage, which loses nothing. Null text: no words, no rows. Null ids, repeated
@@ -17,6 +17,7 @@ rows: a row for each (row, license) found. Empty table: empty result; further co
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 
@@ -105,7 +106,13 @@ def _windows(found: list[tuple[str, int, int]], template: list[str], have: Count
     places: dict[str, list[int]] = {}
     for j, w in enumerate(template):
         places.setdefault(w, []).append(j)
-    picks = {min((w for w in places if have.get(w)), key=lambda w: (have[w], w))}
+    spare = m - math.ceil(least * m - 1e-9)  # template words that a notice may lack
+    picks: set[str] = set()
+    for w in sorted(places, key=lambda w: (have.get(w, 0), len(places[w]), w)):
+        if spare < 0:
+            break
+        picks.add(w)
+        spare -= len(places[w])
     at: dict[str, list[int]] = {w: [] for w in picks}
     for i, (w, _, _) in enumerate(found):
         if w in picks:
