@@ -545,6 +545,6 @@ def eth_checksum(spark, d):
 @_q()
 def ocr_reading_order(spark, d):
     """Words laid out from document texts, eight a line, put back in order."""
-    w = nv.table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.slice(F.split("text", r"\s+"), 1, 400)).alias("i", "text"))
+    w = nv.table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("i", "text"))
     words = w.select("doc_id", (F.floor(F.col("i") / 200)).cast("int").alias("page"), ((F.col("i") % 8) * 100).cast("int").alias("x"), (F.floor(F.col("i") % 200 / 8) * 20).cast("int").alias("y"), F.lit(90).alias("w"), F.lit(12).alias("h"), "text", F.lit(0.9).alias("conf"))
     return documents.merge_pages(documents.reading_order(words)).select("doc_id", "pages", "text")
