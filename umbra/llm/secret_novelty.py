@@ -3,8 +3,11 @@
 A candidate's novelty is its marginal cost: zstandard's size of context and candidate together less that of the
 context alone, both primed with a raw dictionary of identifiers and of the text before it. A word, path or name
 that the dictionary, or the surrounding code, has already shown costs a few bytes; random key material costs close
-to its entropy. Candidates are runs of 20 or more characters of ``[A-Za-z0-9+/_=-]`` whose context holds a
-sensitive word, and those with at least ``MIN_NOVELTY`` marginal bytes a character are reported.
+to its entropy. Candidates are runs of 20 or more characters of ``[A-Za-z0-9+/_=-]`` whose context, ``CONTEXT``
+characters before and after, holds a sensitive word, and those with at least ``MIN_NOVELTY`` marginal bytes a
+character are reported. Runs with only a line break (and what frames a line), a dot or a colon between them are one
+block, and all of a block are candidates if one is. The shorter last line of a block counts as a run of it if the
+block's end marker follows.
 
 Pattern (base) spans always stay. Spans are in code points with exclusive ends. Whole texts are scanned, in time
 linear in their length. Null text: empty, no spans. Null ids, repeated rows, further columns: a row for each row.
@@ -25,6 +28,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: What may stand between the parts of one block: one dot or colon, or a line break with indents, quotes, joiners
+#: and marks; of a break spelled \n the n belongs to the next run.
+_JOINT = re.compile(r"""[.:]|[\x20\t"'`,;\\+>#*|]{0,16}\r?\n[\x20\t"'`+>#*|/]{0,64}|\\(?:r\\)?""")
+#: A block's last line, shorter than a run.
+_TAIL = re.compile(r"""([A-Za-z0-9+/_=-]{1,19})(?=[\x20\t"'`,;\\+>#*|]{0,16}(?:\r?\n|\\r\\n|\\n)[\x20\t"'`+>#*|/]{0,64}-----END)""")
 _SENSITIVE = re.compile(r"password|passwd|secret|token|api_?key|credential|private|bearer|authorization|access|auth", re.I | re.A)
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _HEX_MAP = bytes(104 if chr(i) in "0123456789abcdef" else 46 for i in range(256))
@@ -73,13 +81,32 @@ def novel_spans(text: str) -> list[tuple[int, int, int]]:
     if b"c" * MIN_RUN not in text.encode().translate(_RUN_MAP):
         return []
     found = []
-    for m in _RUN.finditer(text):
-        before, after = text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT]
-        if _SENSITIVE.search(before[-64:]) and novelty(m[0], before, after) >= MIN_NOVELTY:
-            found.append((m.start(), 3, m.end()))
+    for block in _blocks(text):
+        around = (text[max(0, a - CONTEXT) : a] + "\n" + text[b : b + CONTEXT] for a, b in block)
+        if not any(_SENSITIVE.search(x) for x in around):
+            continue
+        for a, b in block:
+            if novelty(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]) >= MIN_NOVELTY:
+                found.append((a, 3, b))
     return found
 
 
+def _blocks(text: str) -> list[list[tuple[int, int]]]:
+    """Runs, those that adjoin together."""
+    out: list[list[tuple[int, int]]] = []
+    for m in _RUN.finditer(text):
+        if out and _JOINT.fullmatch(text, out[-1][-1][1], m.start()):
+            out[-1].append(m.span())
+        else:
+            out.append([m.span()])
+    for block in out:
+        joint = _JOINT.match(text, block[-1][1])
+        tail = joint and _TAIL.match(text, joint.end())
+        if tail:
+            block.append(tail.span(1))
+    return out
+
+
 def spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
