@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from umbra.llm import ivfpq, license_patience, secret_novelty
+from umbra.llm import bottomk, ivfpq, license_patience, secret_novelty
 
 
 def recall(frame, queries, k=20):
@@ -68,3 +68,25 @@ def test_secrets_in_blocks_and_on_both_sides():
     assert len(secret_novelty.novel_spans(f"token {'x y ' * 30}{parts[0]}")) == 1  # 120 characters before
     assert not secret_novelty.novel_spans(f"{parts[0]} {'x y ' * 50} token {'x y ' * 50} {parts[2]}")
     assert not secret_novelty.novel_spans(parts[0] + "\n" + parts[2])
+
+
+def test_near_duplicates_of_unequal_size_share_a_list():
+    rnd = np.random.default_rng(5)
+    for small, large in ((850, 1000), (300, 345), (85, 100), (17, 20), (5000, 5800)):
+        apart = 0
+        for _ in range(1500 if large <= 1000 else 100):
+            union = rnd.integers(0, 2**63, large).astype(np.uint64)
+            apart += not (bottomk.list_keys(np.sort(union[:small])) == bottomk.list_keys(np.sort(union))).any()
+        assert apart == 0, (small, large)
+
+
+def test_near_duplicates_with_text_appended(spark):
+    rnd = random.Random(9)
+    texts = []
+    for _ in range(1200):
+        words = [f"w{rnd.randint(0, 10**9)}" for _ in range(1000)]
+        texts += [" ".join(words[:851]), " ".join(words)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in bottomk.near_duplicates(df).collect()}
+    assert 100 * (851 - 4) >= 85 * (1000 - 4)
+    assert got == {i: i - i % 2 for i in range(len(texts))}

@@ -1,11 +1,13 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
 A document's set holds its distinct 5-word shingles. Equal sets form a class at once (by a 128-bit digest of the
-set), and only one document of a class goes on. Its sketch is the k smallest hashes. Sketches that retain the same
-values meet in inverted lists: a list is keyed by ``ROWS`` retained values (those that come first in the list's own
-order of values), so that a passage in many documents doesn't put them all in one list, and ``LISTS`` of them leave
-a pair at the threshold apart with a probability of about 1e-7. Shingle sets of fewer than 6 can't be 0.85 similar
-without being equal and get no lists.
+set), and only one document of a class goes on. Its sketch is the k smallest hashes. Sets that hold the same values
+meet in inverted lists: a list is keyed by the ``ROWS`` values of the full set that come first in the list's own order
+of values, so that a passage in many documents doesn't put them all in one list. Keys are not taken from the sketches:
+those of unequally large sets are less alike than the sets. A list holds both sets of a pair if the first values of
+their union are in both, C(shared, ROWS) / C(union, ROWS), whatever the sizes of the two; all ``LISTS`` miss a pair at
+the threshold with a probability of at most 1e-8 (about 1e-10 for large sets, 1.4e-6 for 6 values against 7). Sets of
+fewer than 6 can't be 0.85 similar without being equal and get no lists.
 
 Inside a list nothing is paired with everything: each list has a centre, its smallest id, and members are
 paired with it. Union sketches estimate the pairs' similarity (k smallest of both, those in both), pairs that are
@@ -35,50 +37,36 @@ from umbra.llm._common import checkpointed, written
 PERCENT, K, ROWS, LISTS = 85, 64, 5, 40
 #: Sets and values in a part of a bundle.
 CHUNK_ROWS, CHUNK_VALUES = 512, 1 << 21
+#: Values of a set that are ordered at once.
+SLICE = 1 << 12
 _ORDERS = _hashing.mix(np.arange(1, LISTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def list_keys(sketches: list[np.ndarray]) -> np.ndarray:
-    """(sketches x LISTS) keys of equally long sketches."""
-    s = np.stack(sketches)
-    mixed = _hashing.mix(s[:, None, :] ^ _ORDERS[None, :, None])
-    first = np.sort(np.partition(mixed, ROWS - 1, axis=2)[:, :, :ROWS], axis=2)
+def list_keys(values: np.ndarray) -> np.ndarray:
+    """The LISTS keys of a set of ROWS values or more."""
+    first = np.zeros((LISTS, 0), np.uint64)
+    for at in range(0, len(values), SLICE):
+        mixed = _hashing.mix(values[None, at : at + SLICE] ^ _ORDERS[:, None])
+        first = np.concatenate([first, np.partition(mixed, ROWS - 1, axis=1)[:, :ROWS] if mixed.shape[1] > ROWS else mixed], axis=1)
+    first = np.sort(first, axis=1)[:, :ROWS]
     with np.errstate(over="ignore"):
-        key = np.zeros(first.shape[:2], np.uint64)
+        key = np.zeros(LISTS, np.uint64)
         for i in range(ROWS):
-            key = _hashing.mix(key * np.uint64(31) + first[:, :, i])
+            key = _hashing.mix(key * np.uint64(31) + first[:, i])
     return key.view(np.int64)
 
 
 def sketch_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, set_id (null if empty), sketch."""
+    """doc_id, n_shingles, set_id (null if empty), sketch, lids (keys of its lists; none with fewer than 6 shingles)."""
 
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             sets = [_hashing.shingles(w) for w in _hashing.many_word_hashes(texts)]
             ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([s[:K].tobytes() for s in sets], pa.binary())], names=["doc_id", "n_shingles", "set_id", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([s[:K].tobytes() for s in sets], pa.binary()), pa.array([list_keys(s).tolist() if len(s) >= 6 else [] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_id", "sketch", "lids"])
 
-    return docs.select(key, text).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sketch binary")
-
-
-def _inverted(classes: DataFrame) -> DataFrame:
-    """lid (list), id (class), from classes of 6 shingles or more."""
-
-    def run(batches):
-        for batch in batches:
-            for part in range(0, batch.num_rows, 256):
-                ids = batch.column(0).slice(part, 256)
-                sketches = [np.frombuffer(s, np.uint64) for s in batch.column(1).slice(part, 256).to_pylist()]
-                for n in {len(s) for s in sketches}:
-                    own = [i for i, s in enumerate(sketches) if len(s) == n]
-                    keys = list_keys([sketches[i] for i in own])
-                    with np.errstate(over="ignore"):
-                        lids = keys.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(lids), ids.take(pa.array(np.repeat(own, LISTS)))], names=["lid", "id"])
-
-    return classes.select("id", "sketch").mapInArrow(run, "lid long, id long")
+    return docs.select(key, text).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sketch binary, lids array<long>")
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -140,19 +128,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """doc_id, n_shingles, component_id, kept of every row."""
     rows = checkpointed(sketch_rows(docs, text, key))
     # a class of equal sets carries its smallest id; an id with several sets is one document, linked through all of them
-    found = rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
+    found = rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"), F.first("lids").alias("lids"))
     classes = checkpointed(found.withColumnRenamed("doc", "id"))
-    lists = _inverted(classes.where("n >= 6"))
+    lists = classes.select(F.explode("lids").alias("lid"), "id")
     # the smallest id of a list: lists of one large group mostly share it, so its members have few centres
     heads = lists.groupBy("lid").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1").select("lid", "head")
-    lists = checkpointed(lists.join(heads, "lid"))
-    pairs = checkpointed(lists.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    pairs = checkpointed(lists.join(heads, "lid").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
     thin = classes.select("id", "n", "sketch")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     labels = None
     todo = checkpointed(_plausible(pairs, thin))
     if todo.limit(1).count():
-        sets = written(_sets(docs, text, key, lists.select("id").distinct(), classes))
+        sets = written(_sets(docs, text, key, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes))
         # for every class its best pair; the same pair is often best for both
         ends = todo.select("a", "b", "est", F.explode(F.array("a", "b")).alias("end"))
         best = checkpointed(ends.groupBy("end").agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
