@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from umbra.llm import bottomk, ivfpq, license_patience, secret_novelty
+from umbra.llm import bottomk, ivfpq, license_patience, quality_mcd, secret_novelty
 
 
 def recall(frame, queries, k=20):
@@ -90,3 +90,25 @@ def test_near_duplicates_with_text_appended(spark):
     got = {r["doc_id"]: r["component_id"] for r in bottomk.near_duplicates(df).collect()}
     assert 100 * (851 - 4) >= 85 * (1000 - 4)
     assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
+def plain(rnd, n=120):
+    return [f"{''.join(rnd.choices('abcdefghij', k=rnd.randint(4, 6)))}" for _ in range(n)]
+
+
+def test_each_quality_statistic_rejects_alone(spark):
+    rnd = random.Random(3)
+    texts = ["\n".join(" ".join(plain(rnd, 12)) for _ in range(10)) for _ in range(200)]
+    symbols = "\n".join(" ".join(w[:-1] + "#" if rnd.random() < 0.5 else w for w in plain(rnd, 12)) for _ in range(10))
+    lines = [" ".join(plain(rnd, 12)) for _ in range(11)]
+    lines = "\n".join([*lines, *["ab abcdef"] * 10])  # 9 of 21 lines repeated, hardly any of the words
+    head, rest = plain(rnd, 27), plain(rnd, 66)
+    repeated = " ".join([*head, *rest[:40], *head, *rest[40:]])  # 45 per cent
+    long = "\n".join(" ".join(w + w[:2] for w in plain(rnd, 12)) for _ in range(10))
+    cases = {1000: symbols, 1001: lines, 1002: repeated, 1003: long}
+    rows = [(i, t, "en", "s") for i, t in [*enumerate(texts), *cases.items()]]
+    got = {r["doc_id"]: r for r in quality_mcd.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[1000]["n_symbols"] < 0.12 * got[1000]["word_chars"] and 0.4 < got[1002]["n_repeat_words"] / got[1002]["n_words"] < 0.5
+    assert not any(got[i]["base_failed"] for i in got)
+    assert [i for i in cases if got[i]["kept"]] == []
+    assert sum(got[i]["kept"] for i in range(200)) >= 195
