@@ -112,3 +112,17 @@ def test_each_quality_statistic_rejects_alone(spark):
     assert not any(got[i]["base_failed"] for i in got)
     assert [i for i in cases if got[i]["kept"]] == []
     assert sum(got[i]["kept"] for i in range(200)) >= 195
+
+
+def test_small_groups_are_judged_by_their_language_or_the_table(spark):
+    rnd = random.Random(4)
+    odd = lambda: " ".join(w[:-1] + "#" for w in plain(rnd))
+    docs = [(" ".join(plain(rnd)), lang, source) for lang, source, n in (("en", "a", 120), ("en", "b", 30), ("fr", "c", 10), (None, None, 60), ("de", None, 60)) for _ in range(n)]
+    docs += [(odd(), "en", "b"), (odd(), "fr", "c"), (odd(), "de", "x"), (odd(), None, "y")]
+    rows = [(i, *d) for i, d in enumerate(docs)]
+    got = quality_mcd.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows) and all(r["distance"] is not None for r in got)
+    assert not any(r["kept"] for r in got if r["doc_id"] >= len(docs) - 4)
+    assert sum(r["kept"] for r in got) >= len(docs) - 4 - 6
+    stats = quality_mcd.base_statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert dict(quality_mcd.estimates(stats)[0].groupBy("__g").count().collect()) == {'{"l":"en","s":"a"}': 1, 'lang {"l":"en"}': 1, "all": 1, "{}": 1, '{"l":"de"}': 1, 'lang {"l":"de"}': 1, "lang {}": 1}

@@ -9,8 +9,8 @@ a reweighting step follows. Documents whose squared Mahalanobis distance passes
 Distances are binned, and the h nearest rows are those up to the bin in which the h-th falls, so one aggregation by
 (group, bin) a step is all a concentration step takes: rows are counted before the shuffle, whatever the group's
 size. Statistics are whole numbers (ten-thousandths) and their sums exact, so results don't hang on the order of
-tasks. Groups with fewer than ``MIN_GROUP`` rows are pooled by language, then altogether; if even that is smaller,
-the base rules decide alone. The diagonals are widened by ``FLOOR``: a statistic that hardly varies in a group
+tasks. Groups with fewer than ``MIN_GROUP`` rows are judged by an estimate over all rows of their language, or, if
+those are fewer, over all rows of the table; only if that is smaller, too, the base rules decide alone. The diagonals are widened by ``FLOOR``: a statistic that hardly varies in a group
 must still differ by 4.3 floors before it alone rejects. Where a statistic is 0 in a group that is 0.74 per cent of
 symbols, 18.5 per cent of repeated lines, or 18.5 per cent of words in repeated windows.
 
@@ -72,7 +72,7 @@ def _vectors(stats: DataFrame, key: str) -> DataFrame:
     return stats.select(
         "*",
         F.to_json(F.struct(F.col("lang").cast("string").alias("l"), F.col("source").cast("string").alias("s"))).alias("__own"),
-        F.to_json(F.struct(F.col("lang").cast("string").alias("l"))).alias("__lang"),
+        F.concat(F.lit("lang "), F.to_json(F.struct(F.col("lang").cast("string").alias("l")))).alias("__lang"),
         F.pmod(F.xxhash64(key, "n_words", "word_chars"), F.lit(SALTS)).cast("int").alias("__salt"),
         whole("ln(try_divide(word_chars, n_words))").alias("__x0"),
         whole("sqrt(try_divide(n_symbols, word_chars))").alias("__x1"),
@@ -141,14 +141,16 @@ def _median(rows: DataFrame, values: list[str], names: list[str]) -> DataFrame:
 
 
 def estimates(stats: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(groups, estimates): __own to the group __g it is estimated in, and estimates by __g; both are small."""
+    """(groups, estimates): __own to the group __g it is judged by, and estimates by __g; both are small."""
     rows = checkpointed(_vectors(stats.where("NOT base_failed"), key).select("__own", "__lang", "__salt", *_X))
     sizes = rows.groupBy("__own", "__lang").count()
-    small = sizes.where(F.col("count") < MIN_GROUP)
-    pooled = small.groupBy("__lang").agg(F.sum("count").alias("pool"))
-    groups = sizes.join(pooled, "__lang", "left").select("__own", F.when(F.col("count") >= MIN_GROUP, F.col("__own")).when(F.col("pool") >= MIN_GROUP, F.col("__lang")).otherwise("{}").alias("__g"))
-    groups = checkpointed(groups)
-    rows = checkpointed(rows.join(_salted(groups), ["__own", "__salt"]).select("__g", "__salt", *_X))
+    pooled = sizes.groupBy("__lang").agg(F.sum("count").alias("pool"))
+    own, everything = F.col("count") >= MIN_GROUP, F.lit("all")
+    places = checkpointed(sizes.join(pooled, "__lang").select("__own", "__lang", F.when(own, F.col("__own")).when(F.col("pool") >= MIN_GROUP, F.col("__lang")).otherwise(everything).alias("__g")))
+    groups = places.select("__own", "__g")
+    # the rows of a group count in its own estimate, and in those of its language and of the table if small groups need them
+    counts = places.select("__own", F.explode(F.array_distinct(F.array("__g", "__lang", everything))).alias("__g")).join(groups.select("__g").distinct(), "__g", "left_semi")
+    rows = checkpointed(rows.join(_salted(checkpointed(counts)), ["__own", "__salt"]).select("__g", "__salt", *_X))
     at_middle = _median(rows, _X, [f"__m{i}" for i in _D])
     spread = _median(rows.join(_salted(at_middle), ["__g", "__salt"]), [f"abs({_X[i]} - __m{i})" for i in _D], [f"__mad{i}" for i in _D])
     start = at_middle.join(spread, "__g").select("__g", F.lit(0).alias("__start"), *((F.col(f"__m{i}") / _UNIT).alias(f"__m{i}") for i in _D), *((F.pow(1.4826 * F.col(f"__mad{i}") / _UNIT, 2) + FLOOR[i] ** 2 if i == j else F.lit(0.0)).alias(f"__c{i}{j}") for i in _D for j in range(i + 1)))
