@@ -7,8 +7,9 @@ Each plan line uses up some length, so the plan's size depends on the number of
 Pieces take their places by their rank among those of equal length; ranks come from counts by (length, bucket) and
 a window inside buckets, so a length that a third of the pieces share is ranked in many tasks.
 
-Null text: empty, one piece with the end id alone. Repeated ids and rows: each row is packed; rows that agree in id
-and text are interchangeable. Null ids are packed like others. Empty table: empty result.
+Null text: empty, one piece with the end id alone. Very long texts are encoded in parts, cut at spaces, and packed
+in pieces of ``size``. Repeated ids and rows: each row is packed; rows that agree in id and text are interchangeable.
+Null ids are packed like others. Further columns are ignored, whatever their names. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END_ID,
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _tokens.by_bytes(texts, 4 << 20):
-                flat, sizes = _tokens.word_ids(tokenizer).encode(texts[a:b])
+            data, offsets = _tokens.utf8(batch.column(1))
+            for a, b in _tokens.by_bytes(offsets):
+                flat, sizes = _tokens.word_ids(tokenizer).encode(data, offsets[a : b + 1])
                 rows, at = [], 0
                 for i, n in enumerate(sizes.tolist()):
                     ids = np.append(flat[at : at + n], np.uint32(end)).astype("<u4")
