@@ -11,11 +11,9 @@ _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACE = _rng.integers(1, 1 << 63, 5, dtype=np.uint64) | np.uint64(1)
 _SHORT = _rng.integers(1, 1 << 63, 5, dtype=np.uint64)
-_POWERS: list[np.ndarray] = []
+_STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -25,22 +23,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        with np.errstate(over="ignore"):
-            _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, BUFFER) - 1, x)])) for x in (_BASE, _BACK)]
-    return _POWERS[0], _POWERS[1]
-
-
 def _words(data: bytes) -> np.ndarray:
-    """Hashes of the words of one buffer: polynomials in the bytes, taken from running sums."""
+    """Hashes of the words of one buffer: sums over a word's bytes of a value that depends on byte and place in a way
+    that is no polynomial, so that no arrangement of the same bytes is bound to collide."""
     b = np.frombuffer(data, np.uint8)
     gap = np.concatenate([[True], _GAP[b], [True]])
     edge = np.flatnonzero(gap[1:] != gap[:-1])
-    start, end = edge[::2], edge[1::2]
-    up, down = _powers(len(b) + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[b] * up[: len(b)])])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    sizes = edge[1::2] - edge[::2]
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(sizes) - sizes
+    x = (np.arange(int(sizes.sum())) - np.repeat(first, sizes)).astype(np.uint64)
+    x *= _STEP
+    x += _BYTE[b[~gap[1:-1]]]
+    x ^= x >> np.uint64(29)
+    x *= _SPREAD
+    x ^= x >> np.uint64(32)
+    return mix(np.add.reduceat(x, first) + sizes.astype(np.uint64))
 
 
 def word_hashes(text: str) -> np.ndarray:
