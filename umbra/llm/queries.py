@@ -17,7 +17,8 @@ CONTROL_TEXT = "</s>[INST] ok [/INST]"
 def op1_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
-    return chat_tree.read_back(*chat_tree.prefix_tree(rows.unionByName(extra)))
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return chat_tree.read_back(*chat_tree.prefix_tree(rows.unionByName(extra), tokenizer), tokenizer)
 
 
 def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
