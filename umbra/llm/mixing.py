@@ -12,7 +12,9 @@ summed by (leaf, bucket) before anything is ordered, and only the bucket in whic
 leaf with a third of all rows spreads over many tasks.
 
 Nulls: null text has no tokens, and rows without tokens are kept once (they cost nothing); null lang and source are
-leaves of their own; null ids are ordered by their text. Repeated rows are drawn alike. Empty table: empty result.
+leaves of their own; null ids are ordered by their text. Repeated rows and ties in the seeded order are drawn alike.
+Tokens are words by white space, so a very long text is one row that may pass its leaf's budget by its own length.
+Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +29,17 @@ BUCKET_DIGITS = 3
 #: Weights by level; whatever isn't named has ``default``.
 WEIGHTS = {"domain": {"web": 2, "curated": 3}, "lang": {"en": 4}, "source": {}, "default": 1}
 SHARE, MAX_EPOCHS, SEED = 0.9, 3, "mix-1"
+#: Domain by source ("" is the null source); whatever isn't named has ``default``.
+DOMAINS = {"src0": "web", "src1": "web", "": "web", "default": "curated"}
 
 
-def domain_of(source: Column) -> Column:
-    """The tree's top level: the two crawl-like sources are web, the rest curated."""
-    return F.when(F.coalesce(source, F.lit("")).isin("src0", "src1", ""), "web").otherwise("curated")
+def domain_of(source: Column, domains: dict[str, str] = DOMAINS) -> Column:
+    """The tree's top level."""
+    out = F.lit(domains.get("default", "default"))
+    for name, domain in domains.items():
+        if name != "default":
+            out = F.when(F.coalesce(source, F.lit("")) == name, domain).otherwise(out)
+    return out
 
 
 def n_tokens(text: Column) -> Column:
@@ -71,13 +79,14 @@ def budgets(leaves: DataFrame, total: Column, weights: dict, max_epochs: int) ->
     return _fill(low, ["domain", "lang"], "source").select("domain", "lang", "source", "supply", "budget")
 
 
-def mix(docs: DataFrame, total: int | None = None, share: float = SHARE, weights: dict = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, thin: bool = False) -> DataFrame:
-    """``docs`` (only doc_id, lang and source if ``thin``) with epoch (from 0), once for each time a row is drawn.
+def mix(docs: DataFrame, total: int | None = None, share: float = SHARE, weights: dict = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, thin: bool = False, domains: dict[str, str] = DOMAINS) -> DataFrame:
+    """``docs`` (only doc_id, lang and source if ``thin``) with n_tokens and epoch (from 0), once for each time a row is
+    drawn; columns of ``docs`` with these two names are replaced.
 
     total: tokens wanted, else ``share`` of all.
     """
-    columns = ["doc_id", "lang", "source"] if thin else docs.columns
-    counted = docs.select(*(F.col(c).alias(f"o_{i}") for i, c in enumerate(columns)), domain_of(F.col("source")).alias("domain"), F.col("lang").alias("lang"), F.col("source").alias("source"), n_tokens(F.col("text")).alias("n_tokens"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit(""))))).alias("__id"))
+    columns = ["doc_id", "lang", "source"] if thin else [c for c in docs.columns if c not in ("n_tokens", "epoch")]
+    counted = docs.select(*(F.col(c).alias(f"o_{i}") for i, c in enumerate(columns)), domain_of(F.col("source"), domains).alias("domain"), F.col("lang").alias("lang"), F.col("source").alias("source"), n_tokens(F.col("text")).alias("n_tokens"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit(""))))).alias("__id"))
     slim = checkpointed(counted.select("domain", "lang", "source", "n_tokens", "__id"))
     leaves = checkpointed(slim.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").alias("supply")))
     everything = leaves.agg(F.sum("supply")).first()[0] or 0

@@ -10,8 +10,8 @@ Distances are binned, and the h nearest rows are those up to the bin in which th
 (group, bin) a step is all a concentration step takes: rows are counted before the shuffle, whatever the group's
 size. Statistics are whole numbers (ten-thousandths) and their sums exact, so results don't hang on the order of
 tasks. Groups with fewer than ``MIN_GROUP`` rows are judged by an estimate over all rows of their language, or, if
-those are fewer, over all rows of the table; only if that is smaller, too, the base rules decide alone. The diagonals are widened by ``FLOOR``: a statistic that hardly varies in a group
-must still differ by 4.3 floors before it alone rejects. Where a statistic is 0 in a group that is 0.74 per cent of
+those are fewer, over all rows of the table; only if that is smaller, too, the base rules decide alone. The
+diagonals are widened by ``FLOOR``: a statistic that hardly varies in a group must still differ by 4.3 floors before it alone rejects. Where a statistic is 0 in a group that is 0.74 per cent of
 symbols, 18.5 per cent of repeated lines, or 18.5 per cent of words in repeated windows.
 
 Nulls: null text has no words and fails the base rules; null lang and source are groups of their own. Null ids,
@@ -183,6 +183,8 @@ def quality(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
 
 def keep_good(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that pass. Statistics are written beside the texts: they cost more than a copy does."""
-    stats = written(base_statistics(docs, text))
-    return quality_verdicts(stats, *estimates(stats, key), key).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that pass. Statistics are written beside the rows: they cost more than a copy does. Rows
+    travel as one column, so that theirs may have any names."""
+    rows = docs.select(*dict.fromkeys([key, text, "lang", "source"]), F.struct(*docs.columns).alias("__row"))
+    stats = written(base_statistics(rows, text).drop(text))
+    return quality_verdicts(stats, *estimates(stats, key), key).where("kept").select("__row.*")
