@@ -3,15 +3,18 @@
 Centroids and codebooks are fitted on a sample of at most ``FIT_ROWS`` rows (those with the smallest hashed ids);
 every row is indexed. A query probes the lists whose centroids have the largest inner product with it, scores codes
 by asymmetric distance tables (centroid part plus a table look-up for each subspace), and the best ``RERANK`` of
-each block are rescored exactly, in double precision, on the original vectors. In 64 dimensions neighbours lie in
-many lists: ``PROBE_SHARE`` is set by recall against brute force, so that 0.9 holds on small tables, too.
+each block are rescored exactly, in double precision, on the original vectors. How many lists are probed is measured,
+not guessed: ``CHECKED`` rows of the sample ask for their nearest in the sample, and as many lists are probed as hold
+``AIM`` of those. In 64 random dimensions that is most lists; where vectors cluster it is few. A larger table is denser
+than the sample, its neighbours are nearer and lie in fewer lists, so the figure errs to the safe side.
 
 A list is cut into blocks of about ``BLOCK_ROWS`` vectors and, if many queries probe it, those into parts as well, so a list that
 holds a third of all rows (or one vector repeated) spreads over tasks. Ties go to the smaller id at every step.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id, nor
-vectors of another length than the most common (the longer of two equally common). Rows that repeat an id count
-once (the first in order of the vector). Fewer candidates than ``k``: all of them. Empty table: empty result.
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id. Vectors
+of different lengths have no inner product: each length is indexed and searched by itself. Rows that repeat an id
+count once (the longest vector, then the first in order). Fewer candidates than ``k``: all of them. Further columns
+are ignored, whatever their names. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from umbra.llm._common import checkpointed
 
 FIT_ROWS, RERANK, BLOCK_ROWS, QUERY_PART = 20_000, 256, 4096, 2048
-MAX_LISTS, PROBE_SHARE, MIN_PROBES = 4096, 0.8, 8
+MAX_LISTS, CHECKED, AIM = 4096, 256, 0.97
 SUBSPACES, CODES = 16, 256
 
 
@@ -33,9 +36,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     e = F.col("embedding")
     rows = vectors.where(F.col("vec_id").isNotNull() & e.isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"))
     rows = rows.where(F.expr("forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(embedding, x -> x <> 0)"))
-    sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    d = sizes[0]["d"] if sizes else 0
-    return rows.where(F.size("embedding") == d).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    first = rows.groupBy("vec_id").agg(F.min(F.struct((-F.size("embedding")).alias("d"), "embedding")).alias("v"))
+    return first.select("vec_id", "v.embedding")
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -54,16 +56,30 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 class Index:
     """Coarse centroids and codebooks; both are bounded by parameters, not by the table."""
 
-    def __init__(self, sample: np.ndarray, n_rows: int, seed: int = 7):
+    def __init__(self, sample: np.ndarray, n_rows: int, k: int = 20, seed: int = 7):
         rng = np.random.default_rng(seed)
         sample = np.asarray(sample, np.float64)
         self.lists = max(1, min(MAX_LISTS, int(np.sqrt(n_rows) / 2), len(sample)))
         self.coarse = _kmeans(sample, self.lists, 12, rng)
-        self.probes = min(self.lists, max(MIN_PROBES, int(np.ceil(PROBE_SHARE * self.lists))))
+        self.probes = self.lists
+        self.probes = self._measured(sample, k)
         residual = sample - self.coarse[self.assign(sample)]
         self.cuts = [a for a in np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1])) if len(a)]
         self.books = [_kmeans(residual[:, a], min(CODES, len(sample)), 8, rng) for a in self.cuts]
 
+    def _measured(self, sample: np.ndarray, k: int) -> int:
+        """Lists to probe, so that the nearest of some of the sample's rows lie in them with a share of ``AIM``."""
+        k = min(k, len(sample) - 1)
+        if k < 1:
+            return self.lists
+        own, asked = self.assign(sample), sample[:CHECKED]
+        place = np.argsort(self.probe(asked), axis=1)  # of each list in each query's order
+        s = asked @ sample.T
+        s[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        held = np.sort(np.take_along_axis(place, own[near], axis=1).ravel())
+        return int(held[int(np.ceil(AIM * len(held))) - 1]) + 1
+
     def assign(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.coarse.T - 0.5 * (self.coarse**2).sum(1)).argmax(1)
 
@@ -91,21 +107,24 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in column])
 
 
-def fit(rows: DataFrame) -> Index | None:
-    """None if there are no rows."""
-    n = rows.count()
+def fit(rows: DataFrame, n: int, k: int) -> Index:
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding").toPandas()  # bounded
-    return Index(_matrix(sample["embedding"]), n) if len(sample) else None
+    return Index(_matrix(sample["embedding"]), n, k)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row (vec_id, embedding) its ``k`` nearest others."""
-    spark = vectors.sparkSession
-    out = "query_id long, vec_id long, score double"
     rows = checkpointed(usable(vectors))
-    index = fit(rows)
-    if index is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d, n in sorted(tuple(r) for r in rows.groupBy(F.size("embedding")).count().collect()):  # one row a length
+        out = out.unionByName(_search(rows.where(F.size("embedding") == d), queries, n, k))
+    return out
+
+
+def _search(rows: DataFrame, queries: DataFrame, n: int, k: int) -> DataFrame:
+    spark = rows.sparkSession
+    out = "query_id long, vec_id long, score double"
+    index = fit(rows, n, k)
     asked = rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
 
     def put(frames):
