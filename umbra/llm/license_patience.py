@@ -9,9 +9,11 @@ The text is aligned in windows about one template length wide on each side of a
 place in the template, so that words elsewhere in a long text don't hide a notice. Seeds are the occurrences of the
 template's words that are rarest in the text, of so many that a notice with the least coverage must match one of them.
 Each seed has its own windows: up to the seed word's neighbouring occurrences, so that a further copy of the notice
-doesn't make its words ambiguous, a tight one, and the uncut one; the best alignment counts. A template is tried only
-if the text's set of words can reach the coverage, which loses nothing. Null text: no words, no rows. Null ids, repeated
-rows: a row for each (row, license) found. Empty table: empty result; further columns are ignored.
+doesn't make its words ambiguous, a tight one, and the uncut one. Of alignments that overlap the best counts (the most
+words, then the first), so every copy of a notice is found. A template is tried only if the text's set of words can
+reach the coverage, which loses nothing. Null text: no words, no rows. Very long texts are aligned around seeds only,
+in time linear in their length and number of seeds. Null ids, repeated rows: a row for each (row, notice) found. Empty
+table: empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +40,14 @@ TEMPLATES = {
     "mit-line": "Released under the MIT License.",
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "bsl-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "cc0-1.0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "proprietary-line": "All rights reserved. Unauthorized copying or distribution is prohibited.",
@@ -138,26 +148,38 @@ def _seeded(a: list[str], b: list[str], i: int, j: int) -> list[tuple[int, int]]
 
 
 def find_licenses(text: str, templates: dict[str, list[str]] = _TEMPLATE_WORDS, least: float = MIN_COVERAGE) -> list[tuple[str, int, int, int, int]]:
-    """(license, matched words, template words, start, end) of every template covered by at least ``least``."""
+    """(license, matched words, template words, start, end) of every notice that covers at least ``least`` of its
+    template; those of one template do not overlap."""
     found = words(text)
     if not found:
         return []
     have = Counter(w for w, _, _ in found)
     out = []
     for name, template in templates.items():
-        need = Counter(template)
-        if sum(min(n, have.get(w, 0)) for w, n in need.items()) < least * len(template):
+        need, must = Counter(template), least * len(template)
+        if len(need) - len(need.keys() & have.keys()) > len(template) - must or sum(min(n, have[w]) for w, n in need.items()) < must:
             continue
-        best = (0, 0, 0)
+        hits: list[tuple[int, int, int]] = []  # (matched, first word, last word)
+        whole: list[tuple[int, int]] = []  # of these, the complete ones, in order
         for i, j, lo, hi in _windows(found, template, have, least):
+            at = bisect.bisect_right(whole, (i, len(found))) - 1
+            if at >= 0 and i <= whole[at][1]:
+                continue
             window = [w for w, _, _ in found[lo:hi]]
-            if best[0] == len(template) or sum((need & Counter(window)).values()) <= best[0]:
+            if sum((need & Counter(window)).values()) < must:
                 continue
             pairs = _seeded(window, template, i - lo, j)
-            if len(pairs) > best[0]:
-                best = (len(pairs), found[lo + pairs[0][0]][1], found[lo + pairs[-1][0]][2])
-        if best[0] >= least * len(template):
-            out.append((name, best[0], len(template), best[1], best[2]))
+            if len(pairs) >= must:
+                hits.append((len(pairs), lo + pairs[0][0], lo + pairs[-1][0]))
+                if len(pairs) == len(template) and pairs[-1][0] - pairs[0][0] < len(template):
+                    bisect.insort(whole, hits[-1][1:])
+        taken: list[tuple[int, int]] = []
+        for n, a, b in sorted(hits, key=lambda h: (-h[0], h[1], h[2])):
+            at = bisect.bisect_right(taken, (b, len(found)))
+            if at and taken[at - 1][1] >= a:
+                continue
+            bisect.insort(taken, (a, b))
+            out.append((name, n, len(template), found[a][1], found[b][2]))
     return out
 
 
