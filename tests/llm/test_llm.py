@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -15,6 +16,7 @@ from umbra.llm import _tokens, best_two_fit, bottomk, chat_tree, gsaca, ivfpq, l
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string"
 W = r"[^\x20\x09-\x0D]+"
+SIGNS = ["a", "Bé", " ", "  ", "\n", "\t", "\xa0", "\x1c", "7", "'s", "'", "'LL", "'Re", "ÀÉ", "×ß²", "<|endoftext|>", "<|", ".", "\u0301", "İ", "—", "’", "日本", "\x00", "\x01", "1a1", "Σ", "\x85", "ﬁ", "😀"]
 
 
 @pytest.fixture(scope="module")
@@ -42,24 +44,51 @@ def test_chat(spark, rows):
     turns = [(c, t, r, x) for c in range(6) for t, (r, x) in enumerate([("system", "same"), ("user", f"q{c % 2}"), ("assistant", "</s>[INST] \\ <|user|>" if c % 3 else None), ("user", "é")][: 2 + c % 3])]
     turns += [(None, 0, "user", "n"), (9, None, None, ""), (9, 1, "assistant", "x"), (9, 1, "assistant", "x")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("start", F.lit(1))
-    nodes, paths = chat_tree.prefix_tree(df)
-    got = {r["conv_id"]: r for r in chat_tree.read_back(nodes, paths).collect()}
-    for conv in {t[0] for t in turns}:
-        own = sorted(((t if t is not None else -1, r or "", x or "") for c, t, r, x in turns if c == conv))
-        said = "".join(x for _, r, x in own if r == "assistant")
-        g = got[conv]
-        assert g["n_turns"] == len(own) and g["loss_chars"] == len(said)
-        assert g["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
-        assert g["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
-        assert g["formatted_chars"] == sum(len(chat_tree.format_turn(r, x)) for _, r, x in own)
-    made = nodes.collect()
-    assert len(made) < len(turns)  # shared turns are emitted once
-    for tree in {n["tree_id"] for n in made}:
-        at = 0
-        for n in sorted((n for n in made if n["tree_id"] == tree), key=lambda n: n["start"]):
-            assert n["start"] == at and n["position"] == sum(a["end"] - a["start"] for a in n["ancestors"])
-            at += n["n_chars"]
-    assert chat_tree.read_back(*chat_tree.prefix_tree(df.where("false"))).count() == 0
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    paths_of = {conv: sorted(((t if t is not None else -1, r or "", x or "") for c, t, r, x in turns if c == conv)) for conv in {t[0] for t in turns}}
+    for tokenizer in (None, path):
+        nodes, paths = chat_tree.prefix_tree(df, tokenizer)
+        got = {r["conv_id"]: r for r in chat_tree.read_back(nodes, paths, tokenizer).collect()}
+        size = lambda r, x: sum(len(library.encode(p, add_special_tokens=False).ids) if tokenizer else len(p) for p in chat_tree.turn_parts(r, x))  # noqa: B023, E731
+        for conv, own in paths_of.items():
+            said = "".join(x for _, r, x in own if r == "assistant")
+            g = got[conv]
+            assert g["n_turns"] == len(own) and g["loss_chars"] == len(said) and g["misplaced"] == 0
+            assert g["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
+            assert g["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+            assert g["formatted_chars"] == sum(len(chat_tree.format_turn(r, x)) for _, r, x in own)
+            assert g["n_units"] == sum(size(r, x) for _, r, x in own)
+        # the tree by hand: a node is a sequence of turns
+        made = {(n["tree_id"], n["start"]): n for n in nodes.collect()}
+        where: dict = {}
+        for r in paths.collect():
+            where[r["ck"], r["depth"]] = (r["tree_id"], r["start"])
+        key = lambda c: -(2**63) if c is None else c
+        prefixes = {}
+        for conv, own in paths_of.items():
+            for d in range(len(own)):
+                place = where[key(conv), d]
+                assert prefixes.setdefault(tuple(x[1:] for x in own[: d + 1]), place) == place  # shared turns, one node
+                before = [made[where[key(conv), i]] for i in range(d)]
+                spans = sorted((n["start"], n["start"] + n["length"]) for n in before)
+                joined = [list(x) for x in spans[:1]]
+                for a, b in spans[1:]:
+                    if joined[-1][1] == a:
+                        joined[-1][1] = b
+                    else:
+                        joined.append([a, b])
+                shown: list = []
+                for x in made[place]["ancestors"]:
+                    chat_tree._Reader._join(shown, x["start"], x["end"])
+                assert shown == joined and made[place]["position"] == sum(n["length"] for n in before)
+        assert len(set(prefixes.values())) == len(made) == len(prefixes) < len(turns)
+        for tree in {t for t, _ in made}:
+            at = 0
+            for n in sorted((n for (t, _), n in made.items() if t == tree), key=lambda n: n["start"]):
+                assert n["start"] == at and n["length"] == len(n["body"])
+                at += n["length"]
+        assert chat_tree.read_back(*chat_tree.prefix_tree(df.where("false"), tokenizer), tokenizer).count() == 0
 
 
 def test_quality(spark, docs, rows, empty):
@@ -87,13 +116,15 @@ def test_tokens(docs, rows, empty):
         n = len(t.encode(text or "", add_special_tokens=False).ids)
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((text or "").encode()), n > 512)
     rnd = random.Random(3)
-    for _ in range(300):
-        s = "".join(rnd.choice(["a", "Bé", " ", "  ", "\n", "\t", " ", "\x1c", "7", "'s", "<|endoftext|>", ".", "́", "İ"]) for _ in range(rnd.randint(0, 20)))
+    words = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for _ in range(600):
+        s = "".join(rnd.choice(SIGNS) for _ in range(rnd.randint(0, 20)))
         assert _tokens.count_tokens(path, [s])[0] == len(t.encode(s, add_special_tokens=False).ids), repr(s)
-        for name in ("word_bpe_49k.json",):
-            p = public_tokenizers.path(name)
-            ids, n = _tokens.word_ids(p).encode([s, "x y"])
-            assert ids[: n[0]].tolist() == Tokenizer.from_file(p).encode(s, add_special_tokens=False).ids if _ % 10 == 0 else True
+        p = public_tokenizers.path("word_bpe_49k.json")
+        ids, n = _tokens.word_ids(p).encode(*_tokens.utf8(pa.array([s, "x y"])))
+        assert ids[: n[0]].tolist() == words.encode(s, add_special_tokens=False).ids and n[1] == 2, repr(s)
+        assert _tokens.counter(path).ids(s) == t.encode(s, add_special_tokens=False).ids
+        assert _tokens.counter(path).text(_tokens.counter(path).ids(s)) == s
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
@@ -155,6 +186,55 @@ def test_byte_dedup(docs, rows, empty):
     assert suffix_dedup.repeated_spans(empty).count() == 0
 
 
+def brute_spans(texts):
+    """(n_removed, n_spans, kept) of each text, in order."""
+    seen: set[bytes] = set()
+    for t in texts:
+        data = t.encode()
+        gone = np.zeros(len(data), bool)
+        for p in range(len(data) - 99):
+            w = data[p : p + 100]
+            if w in seen:
+                gone[p : p + 100] = True
+            seen.add(w)
+        yield int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), bytes(b for b, g in zip(data, gone, strict=True) if not g)
+
+
+def test_byte_dedup_by_row(spark):
+    """Rows that repeat an id are documents of their own; nobody loses text that occurs once."""
+    rnd = random.Random(9)
+    say = lambda n: "".join(rnd.choices("abcdefghij ", k=n))
+    a, b, c = say(400), say(419), say(300)
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c + a[:150]), (None, c), (None, say(200)), (-(2**63), say(150) + c[50:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"v": F.lit("clash"), "hash": F.lit(1), "removed": F.lit(2)})
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"]), r["n_removed"]) for r in suffix_dedup.repeated_spans(df).collect())
+    lost = {k: n for k, n in got}
+    assert len(got) == len(rows) and lost[False, 2, 419] == 0 and lost[False, 2, 400] == 400 and lost[False, 1, 400] == 0
+    assert lost[False, 3, 450] == 450 and lost[False, -(2**63), 400] == 250 and lost[True, 0, 300] == lost[True, 0, 200] == 0
+
+
+def test_byte_dedup_of_crowds(spark, monkeypatch):
+    """A passage with many different surroundings: its anchors' contexts are neither gathered nor lost."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", 8)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 8)
+    rnd = random.Random(10)
+    say = lambda n: "".join(rnd.choices("abcdefghij ", k=n))
+    passages, edge = [say(n) for n in (70, 99, 130, 240)], say(40)
+    texts = []
+    for i in range(160):
+        p = rnd.choice(passages)
+        texts.append(say(rnd.randint(0, 90)) + (edge if i % 3 else "") + p[rnd.choice([0, 0, 7]) :] + (edge if i % 4 else "") + say(rnd.randint(0, 90)))
+    got = {r["doc_id"]: r for r in suffix_dedup.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (n, runs, kept) in enumerate(brute_spans(texts)):
+        assert (got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (n, runs, hashlib.sha256(kept).hexdigest()), i
+
+
+def test_windows_with_one_hash_are_told_apart():
+    body = np.frombuffer(b"x" * 100 + b"y" * 100 + b"x" * 100 + b"y" * 100, np.uint8)
+    same = suffix_dedup._later(body, np.array([0, 100, 200, 300]), np.zeros(4, np.uint64), np.arange(4))
+    assert sorted(same.tolist()) == [2, 3]
+
+
 def test_packing(docs, rows, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
