@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that separate words in every contract: space, tab, LF, VT, FF, CR.
 WORD_GAP = r"[\x20\x09-\x0D]+"
+#: Narrow rows (a few numbers each) that one task of a small table holds.
+TASK_ROWS = 25_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,16 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def row_count(df: DataFrame) -> int:
+    """Rows of a checkpointed or read table, counted in place: ``count`` would shuffle a row from every task."""
+    return df._jdf.queryExecution().toRdd().count()
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as few tasks as its rows need; more than it has change nothing."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: smaller than a checkpoint, and pruned by column."""
     import uuid

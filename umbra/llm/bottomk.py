@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm import _hashing
-from umbra.llm._common import checkpointed, written
+from umbra.llm._common import checkpointed, row_count, sized, written
 
 PERCENT, K, ROWS, LISTS = 85, 64, 5, 40
 #: Sets and values in a part of a bundle.
@@ -113,14 +113,16 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """id, comp (smallest id reachable over links a-b) of every linked node; links is checkpointed."""
-    both = links.select("a", "b").union(links.select("b", "a"))
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("comp")))
+    n = 2 * row_count(links)
+    few = lambda df: sized(df, n)
+    both = few(links.select("a", "b").union(links.select("b", "a")))
+    labels = checkpointed(few(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("comp"))))
     while True:
-        seen = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("seen"))
-        near = labels.join(seen, "id").select("id", F.col("comp").alias("old"), F.least("comp", "seen").alias("near"))
+        seen = few(both.join(labels.select(F.col("id").alias("b"), "comp"), "b")).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("seen"))
+        near = few(labels.join(few(seen), "id").select("id", F.col("comp").alias("old"), F.least("comp", "seen").alias("near")))
         jump = labels.select(F.col("id").alias("near"), F.col("comp").alias("far"))
-        labels = checkpointed(near.join(jump, "near").select("id", "old", F.least("near", "far").alias("comp")))
-        if labels.where("comp <> old").limit(1).count() == 0:
+        labels = checkpointed(few(near.join(jump, "near").select("id", "old", F.least("near", "far").alias("comp"))))
+        if labels.where("comp <> old").isEmpty():
             return labels.select("id", "comp")
 
 
@@ -137,19 +139,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     thin = classes.select("id", "n", "sketch")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     labels = None
+    pairs = sized(pairs, row_count(pairs))
     todo = checkpointed(_plausible(pairs, thin))
-    if todo.limit(1).count():
+    if not todo.isEmpty():
+        rows_todo = row_count(todo)
+        todo = sized(todo, rows_todo)
         sets = written(_sets(docs, text, key, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes))
         # for every class its best pair; the same pair is often best for both
         ends = todo.select("a", "b", "est", F.explode(F.array("a", "b")).alias("end"))
         best = checkpointed(ends.groupBy("end").agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
         for confirmed in (
             lambda: _confirm(best, sets),
-            lambda: _confirm(_apart(todo.join(best, ["a", "b"], "left_anti"), labels), sets),
+            lambda: _confirm(checkpointed(_apart(todo.join(best, ["a", "b"], "left_anti"), labels, rows_todo)), sets),
             lambda: _cross_links(_contested(pairs, labels, thin), sets),
         ):
-            links = checkpointed(links.union(confirmed()))
-            labels = components(links)
+            more = checkpointed(confirmed())
+            if labels is None or not more.isEmpty():
+                links = checkpointed(links.union(sized(more, row_count(more))))
+                labels = components(links)
     final = classes.select("set_id", "id", F.col("id").alias("comp"))
     if labels is not None:
         final = final.drop("comp").join(labels, "id", "left").select("set_id", "id", F.coalesce("comp", "id").alias("comp"))
@@ -159,10 +166,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """The pairs whose ends are not in one component yet."""
     of = lambda x: labels.select(F.col("id").alias(x), F.col("comp").alias(f"c_{x}"))
-    out = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    out = sized(pairs.join(of("a"), "a", "left"), rows).join(of("b"), "b", "left")
     return out.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
 
 
