@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -59,15 +60,74 @@ def expand_to_word_edges(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+_JOINED_AFTER, _JOINED_BEFORE = re.compile(r"[-'’][^\W\d_]{2,}(?!\d)"), re.compile(r"(?<![^\W_])[^\W\d_]+[-'’]$")
+
+
 def extend_over_name_joiners(text: str, start: int, end: int) -> tuple[int, int]:
-    """Over parts joined by hyphen or apostrophe."""
-    while m := re.match(r"[-'’]\w+", text[end:]):
-        end += m.end()
-    while m := re.search(r"\w+[-'’]$", text[:start]):
+    """Over name parts joined by hyphen or apostrophe: two letters at least behind (no possessive), one before."""
+    while m := _JOINED_AFTER.match(text, end):
+        end = m.end()
+    while m := _JOINED_BEFORE.search(text, max(0, start - 64), start):
         start = m.start()
     return start, end
 
 
+def boundary_view(text: str) -> str:
+    """Detection view with a blank wherever characters were dropped."""
+    view, spans = normalize(text)
+    if spans is None:
+        return view
+    out, at, end = [], 0, 0
+    for c in view:
+        if at and spans[at][0] > end:
+            out.append(" ")
+        out.append(c)
+        at += len(c.encode())
+        end = spans[at - 1][1]
+    return "".join(out)
+
+
+def fold(text: str) -> tuple[str, list[int]]:
+    """Lower case, runs of white space as one blank, and for each character the place in the text it stands for."""
+    out, at, blank = [], [], False
+    for i, c in enumerate(text):
+        if c.isspace():
+            if not blank:
+                out.append(" ")
+                at.append(i)
+            blank = True
+            continue
+        blank = False
+        low = c.lower()
+        out.append(low)
+        at += [i] * len(low)
+    return "".join(out), at
+
+
+def word_spellings(word: str) -> list[str]:
+    """A word as written, with capitals after each joint, and in capitals unless its own capitals are a brand's."""
+    brand = any(a.islower() and b.isupper() for a, b in zip(word, word[1:], strict=False))
+    title = re.sub(r"[^\W\d_]+", lambda m: m[0][0].upper() + m[0][1:].lower(), word)
+    return list(dict.fromkeys([word, title, *([] if brand else [word.upper()])]))
+
+
+def json_spelling(raw: str) -> str:
+    """``json_escaped`` if the bytes, read inside a JSON string, spell another value; else ``plain``."""
+    if "\\" not in raw:
+        return "plain"
+    try:
+        return "json_escaped" if json.loads(f'"{raw}"') != raw else "plain"
+    except ValueError:
+        return "plain"
+
+
+def opaque_identifier(key: str, namespace: str, value: Column) -> Column:
+    """A keyed name for a value that nobody without the key can tell or forge: half a hash of the value, and half a hash
+    of that half."""
+    first = F.substring(hmac_sha256(key, F.concat(F.lit(f"{namespace}|0|"), value)), 1, 32)
+    return F.concat(first, F.substring(hmac_sha256(key, F.concat(F.lit(f"{namespace}|1|"), first)), 1, 32))
+
+
 def custom_class(name: str) -> str:
     """Canonical class of a custom name: lower snake case."""
     return "custom:" + re.sub("_+", "_", re.sub("[^a-z0-9]+", "_", name.strip().lower())).strip("_")
@@ -79,11 +139,13 @@ def class_label(c: Column) -> Column:
 
 
 def redaction_marker(c: Column) -> Column:
-    return F.concat(F.lit("[REDACTED:"), F.regexp_replace(c, "[^A-Za-z0-9]", "-"), F.lit("]"))
+    """One-way marker of a class: lower case, colons kept, everything else that is no letter or digit a hyphen."""
+    return F.concat(F.lit("[REDACTED:"), F.lower(F.regexp_replace(c, "[^A-Za-z0-9:]", "-")), F.lit("]"))
 
 
 def is_redaction_marker(c: Column) -> Column:
-    return c.rlike(r"^\[REDACTED:[A-Za-z0-9-]+\]$")
+    """Exactly one class marker (the bare ``[REDACTED]`` of a redact rule names no class and is none)."""
+    return c.rlike(r"^\[REDACTED:[a-z0-9:-]+\]$")
 
 
 def generalization(c: Column) -> Column:

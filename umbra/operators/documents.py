@@ -7,15 +7,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions.text import repair_ocr
+from umbra.operators.cut import cut
+
+
+#: Least width of a gap between columns, as a part of the page and in pixels, and slack when words' extents join.
+GAP_PART, GAP_LEAST, GAP_SLACK = 6, 48, 24
+
+
+def column_split(words: pd.DataFrame) -> float | None:
+    """The middle of the widest gap between the words' joined extents, if it is wide enough for two columns."""
+    spans = sorted((x, x + w) for x, w, t in zip(words["x"], words["w"], words["text"], strict=True) if t and w > 0)
+    if len(spans) < 4:
+        return None
+    right, best, at = spans[0][1], 0, None
+    for a, b in spans[1:]:
+        if a > right + GAP_SLACK and a - right > best:
+            best, at = a - right, right + (a - right) // 2
+        right = max(right, b)
+    return at if at is not None and best >= max((right - spans[0][0]) // GAP_PART, GAP_LEAST) else None
 
 
 def _lines(words: pd.DataFrame) -> list[str]:
-    """Lines by vertical overlap; gaps wider than three characters, aligned over lines, make table cells."""
+    """Lines by distance from their first word; gaps wider than three characters, aligned over lines, make table cells."""
     words = words.sort_values(["y", "x"])
     lines: list[list] = []
     for w in words.itertuples():
-        mid = w.y + w.h / 2
-        if lines and lines[-1][0].y <= mid <= lines[-1][0].y + lines[-1][0].h:
+        if lines and abs(w.y - lines[-1][0].y) <= max(w.h, lines[-1][0].h):
             lines[-1].append(w)
         else:
             lines.append([w])
@@ -42,11 +59,9 @@ def _page(pdf: pd.DataFrame) -> pd.DataFrame:
     words = pdf.dropna(subset=["text"])
     if not len(words):
         return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "page": pdf["page"].iloc[:1], "text": [""], "words": [0], "conf": [0.0]})
-    left, right = words["x"].min(), (words["x"] + words["w"]).max()
-    middle = (left + right) / 2
-    crossing = ((words["x"] < middle) & (words["x"] + words["w"] > middle)).sum()
-    a, b = words[words["x"] < middle], words[words["x"] >= middle]
-    columns = crossing == 0 and len(a) > 8 and len(b) > 8 and a["y"].nunique() > 2 and b["x"].min() - (a["x"] + a["w"]).max() > 0.05 * (right - left)
+    at = column_split(words)
+    a, b = (words[words["x"] < at], words[words["x"] >= at]) if at is not None else (words, words.iloc[:0])
+    columns = len(b) > 0
     text = "\n".join(line for part in ((a, b) if columns else (words,)) for line in _lines(part))
     return pd.DataFrame({"doc_id": [words["doc_id"].iloc[0]], "page": [words["page"].iloc[0]], "text": [text], "words": [len(words)], "conf": [words["conf"].mean()]})
 
@@ -63,6 +78,21 @@ def merge_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(repair_ocr(text).alias("text"), F.count("*").alias("pages"), conf.alias("confidence"))
 
 
+def clean_documents(words: DataFrame, kind: str = "png", low_confidence: float = 0.6, **detect) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clean markdown, report, manifest) of documents' words: reading order, repairs, protection in a session of its own,
+    a heading, and counts by class, pages, mean confidence and whether that is low."""
+    from umbra.operators import protect
+
+    merged = cut(merge_pages(reading_order(words)))
+    docs = merged.select("doc_id", F.concat(F.lit("document-"), F.col("doc_id").cast("string")).alias("session_id"), F.lit(0).cast("long").alias("seq"), "text")
+    clean = cut(protect.protect(docs, **detect)[0])
+    shown = clean.select("doc_id", F.concat(F.lit(f"# Document ({kind})\n\n"), "clean_text").alias("clean_md"), F.size("manifest").alias("tokens"))
+    counts = clean.select("doc_id", F.explode("manifest").alias("m")).groupBy("doc_id", "m.class").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("class", "n")))).alias("counts"))
+    report = shown.join(merged.select("doc_id", "pages", "confidence"), "doc_id").join(counts, "doc_id", "left")
+    report = report.select("doc_id", F.lit(kind).alias("kind"), "pages", "confidence", (F.col("confidence") < low_confidence).alias("low_confidence"), F.length("clean_md").alias("characters"), "tokens", "counts")
+    return shown.select("doc_id", "clean_md"), report, clean.select("doc_id", "manifest")
+
+
 def counts_by_class(clean: DataFrame) -> DataFrame:
     return clean.select(F.explode("manifest").alias("m")).groupBy("m.class").agg(F.count("*").alias("n"))
 

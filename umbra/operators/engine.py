@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 from umbra.functions import text as tx
-from umbra.functions.validators import VALIDATORS
+from umbra.functions.validators import NORMALIZERS, VALIDATORS
 from umbra.operators.rules import CORE, Rule, admitted, compile_pattern
 
 CLASS_PRIORITY = {"email": 90, "name": 80, "organization": 70, "location": 60}
@@ -64,26 +65,87 @@ def _compiled(pattern: str):
     return compile_pattern(pattern)
 
 
-_MORE = re.compile(r"[ -]([A-Z0-9]{2,})(?![A-Za-z0-9:=])")
-_DATE = re.compile(r"[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}")
+_MORE = re.compile(r"[ ./_:-]{1,3}([A-Z0-9]+)(?![A-Za-z0-9])")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}")
+#: Words that name the next field of a record.
+FIELD_WORDS = {"SSN", "TIN", "DOB", "ID", "TAX", "UTR", "TFN", "EXP", "VALID"}
+_FIELD = re.compile(r"[A-Z]{2,}(?: [A-Z]{2,}){0,3} *[:=#|,;-]")
 
 
 def _complete(text: str, start: int, end: int) -> tuple[int, str | None]:
-    """A labelled value goes on over value-like groups; too long a run is only noted."""
-    now, groups = end, 0
-    while (m := _MORE.match(text, now)) and not _DATE.match(text, m.start(1)) and any(c.isdigit() for c in m[1]):
-        now, groups = m.end(), groups + 1
-        if groups > MAX_GROUPS or now - end > MAX_EXTRA:
-            return end, "too_long"
-    return now, "completed" if groups else None
-
-
-def scan_rule(rule: Rule, text: str) -> list[Candidate]:
+    """A labelled value goes on over value-like groups, up to a date or the next field's label; a long one is noted."""
+    now, why = end, None
+    while m := _MORE.match(text, now):
+        if _DATE.match(text, m.start(1)):
+            why = "date_boundary"
+            break
+        if m[1] in FIELD_WORDS or _FIELD.match(text, m.start(1)):
+            why = "label_boundary"
+            break
+        if not (any(c.isdigit() for c in m[1]) or m[1].isupper()):
+            break
+        now = m.end()
+    groups = len(re.findall("[A-Za-z0-9]+", text[start:now]))
+    if now - start > MAX_EXTRA or groups > MAX_GROUPS:
+        return now, "too_long"
+    return now, why or ("completed" if now > end else None)
+
+
+_DIGITS = re.compile("[0-9]+")
+#: Digits by group in which card numbers are printed.
+LAYOUTS = {*((n,) for n in range(13, 20)), (4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4)}
+
+
+def card_spans(run: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(cards, failures) in a run of digits with single separators: windows of whole groups that hold 13 to 19 digits,
+    from left to right, and windows in a card's layout. Of those that pass Luhn overlapping ones make one span;
+    failures are the plain windows that touch no card."""
+    groups = [m.span() for m in _DIGITS.finditer(run)]
+    sizes = [b - a for a, b in groups]
+    plain, i = [], 0
+    while i < len(groups):
+        fits = [j for j in range(i, min(len(groups), i + 19)) if 13 <= sum(sizes[i : j + 1]) <= 19]
+        if fits:
+            plain.append((groups[i][0], groups[fits[-1]][1]))
+        i = fits[-1] + 1 if fits else i + 1
+    printed = [(groups[i][0], groups[i + n - 1][1]) for i in range(len(groups)) for n in range(1, 6) if tuple(sizes[i : i + n]) in LAYOUTS and i + n <= len(groups)]
+    cards: list[tuple[int, int]] = []
+    for a, b in sorted(w for w in {*plain, *printed} if VALIDATORS["luhn"](run[w[0] : w[1]])[0]):
+        if cards and a < cards[-1][1]:
+            cards[-1] = (cards[-1][0], max(b, cards[-1][1]))
+        else:
+            cards.append((a, b))
+    return cards, [w for w in plain if not any(w[0] < b and a < w[1] for a, b in cards)]
+
+
+_RUN_AFTER = re.compile(r"[^\W_]*[0-9_]")
+_ZERO_COUNTRY = re.compile(r"\+[\t -]*0[0-9 \t./()-]*$")
+_SKU = re.compile(r"(?i)(?<![\w-])sku-[\w-]*$")
+
+
+def _guarded(rule: Rule, text: str, start: int, end: int) -> bool:
+    """A context in which the match is part of something else."""
+    if rule.word_run and _RUN_AFTER.match(text, end):
+        return True
+    if rule.zero_country and text[start] != "+" and _ZERO_COUNTRY.search(text, max(0, start - 32), start):
+        return True
+    if rule.sku and (m := _SKU.search(text, max(0, start - 256), start)):
+        return any(c.isalpha() for c in m[0][4:])
+    return False
+
+
+def possible(rule: Rule, text: str, low: str, digit: bool) -> bool:
+    """Whether the literals without which the rule can't match are there."""
+    return (digit or not rule.digits) and all(n in text for n in rule.needs) and (not rule.hints or any(h in low for h in rule.hints))
+
+
+def scan_rule(rule: Rule, text: str, low: str | None = None, digit: bool = True) -> list[Candidate]:
     """Matches of one rule; the search goes on at the end of the capture, and a match without one is skipped whole."""
-    if rule.needs and not all(n in text for n in rule.needs):
+    if not possible(rule, text, text.lower() if low is None else low, digit):
         return []
     found, at, pattern = [], 0, _compiled(rule.pattern)
     reject = _compiled(rule.reject) if rule.reject else None
+    plain = Candidate(0, 0, rule.cls, rule.id, rule.base, rule.priority, None, "rule", rule.family, rule.variant, rule.precedence, rule.anchors)
     while m := pattern.search(text, at):
         span = next((m.span(g) for g in rule.groups if m.span(g)[0] >= 0 and m.span(g)[0] < m.span(g)[1]), None)
         if span is None:
@@ -91,16 +153,24 @@ def scan_rule(rule: Rule, text: str) -> list[Candidate]:
             continue
         start, end = span
         at = max(end, at + 1)
-        if any(x in m[0].lower() for x in rule.exclusions):
+        if any(x in m[0].lower() for x in rule.exclusions) or _guarded(rule, text, start, end):
+            continue
+        if rule.card_run:
+            cards, failed = card_spans(text[start:end])
+            found += [replace(plain, start=start + a, end=start + b, canonical="".join(_DIGITS.findall(text[start + a : start + b]))) for a, b in cards]
+            found += [replace(plain, start=start + a, end=start + b, reason="checksum") for a, b in failed]
             continue
         scan = None
         if rule.complete:
             end, scan = _complete(text, start, end)
         value = text[start:end]
-        c = Candidate(start, end, rule.cls, rule.id, rule.base, rule.priority, None, "rule", rule.family, rule.variant, rule.precedence, rule.anchors, scan=scan, rejected=bool(reject and reject.fullmatch(value)))
+        c = replace(plain, start=start, end=end, scan=scan, rejected=bool(reject and reject.fullmatch(value)))
         if rule.validator and not c.rejected:
             ok, canonical, reason = VALIDATORS[rule.validator](value)
-            c = replace(c, canonical=canonical) if ok else replace(c, reason=reason) if rule.on_fail == "veto" else replace(c, reason=reason, evidence="learned", scan="recorded")
+            if ok:
+                c = replace(c, canonical=NORMALIZERS[rule.normalizer](value) if rule.normalizer else canonical)
+            else:
+                c = replace(c, reason=reason) if rule.on_fail == "veto" else replace(c, reason=reason, evidence="learned", scan="recorded")
         found.append(c)
     return found
 
@@ -131,24 +201,53 @@ def scan_dictionary(name: str, terms: list[str], cls: str, text: str, case_sensi
 
 
 _AUTOMATA: dict = {}
-_PERSON = re.compile(r"(?:(?:Dr|Mr|Mrs|Ms|Herr|Frau)\.? )?[A-ZÀ-ÖØ-Þ][\w'’-]+(?: [A-ZÀ-ÖØ-Þ][\w'’-]+){0,2}")
-CUES = {"name.forward_marker": ("forwarded by", "weitergeleitet von"), "name.agent_recipient": ("dear", "hello", "sehr geehrte", "sehr geehrter", "liebe", "lieber"), "name.auto_footer": ("regards,", "best wishes,", "sincerely,", "mit freundlichen grüßen", "viele grüße")}
+_PERSON = re.compile(r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Herr|Frau)\.? )?[A-ZÀ-ÖØ-Þ][\w'’-]*(?: (?:(?:von|van|de|der|den|da|di|del|zu|la|le) )*[A-ZÀ-ÖØ-Þ][\w'’-]*){0,3}")
 
 
-def scan_anchored(text: str, cues: dict[str, tuple[str, ...]] = CUES, window: int = CUE_WINDOW) -> list[Candidate]:
-    """A person's name within a window behind a cue phrase."""
-    low, out = text.lower(), []
+@dataclass(frozen=True)
+class Anchored:
+    """Cue phrases beside which a person's name stands, within so many characters and up to a kind of boundary."""
+
+    id: str
+    cues: dict[str, tuple[str, ...]]
+    window: int
+    boundary: str = "punctuation"
+    side: str = "before"
+    base: float = 0.88
+    priority: int = 110
+
+
+#: Cue phrases by language.
+ANCHORED = (
+    Anchored("name.forward_marker", {"en": ("forwarded message from", "begin forwarded message", "----- forwarded message", "forwarded by"), "de": ("weitergeleitete nachricht von", "weitergeleitet von", "forwarded message from", "----- forwarded message")}, 64),
+    Anchored("name.agent_recipient", {"en": ("reply to", "respond to", "draft for", "draft to", "dear", "hello"), "de": ("antwortest", "antworte", "schreibst", "sehr geehrte", "sehr geehrter", "liebe", "lieber", "reply to", "respond to", "draft for", "draft to")}, 48),
+    Anchored("name.auto_footer", {"en": ("sent by", "sent via", "on behalf of", "regards,", "best wishes,", "sincerely,"), "de": ("gesendet von", "gesendet durch", "sent by", "sent via", "on behalf of", "mit freundlichen grüßen", "viele grüße")}, 64, "whitespace"),
+)
+_BOUNDARY = {"punctuation": re.compile(r"\s*(?:[.,:;)\]>]|$)|[^\S\n]*\n"), "whitespace": re.compile(r"[\s.,:;]|$"), "line_end": re.compile(r"[\r\n]|$")}
+
+
+def scan_anchored(text: str, rules=ANCHORED, chain: tuple[str, ...] = ("en-US", "global")) -> list[Candidate]:
+    """Persons' names beside the cue phrases of the chain's languages."""
+    low, out, seen = text.lower(), [], set()
     if len(low) != len(text):
         return []
-    for rule, phrases in cues.items():
-        for cue in phrases:
+    languages = {c.split("-")[0] for c in chain}
+    for rule in rules:
+        for cue in dict.fromkeys(c for lang, cues in rule.cues.items() if lang in languages for c in cues):
             at = low.find(cue)
             while at >= 0:
                 end = at + len(cue)
                 if not tx.is_inside_word(text, at) and not tx.is_inside_word(text, end):
-                    gap = re.match(r"[\s:,]*", text[end : end + window]).end()
-                    if (m := _PERSON.match(text, end + gap)) and m.end() <= end + window:
-                        out.append(Candidate(*tx.extend_over_name_joiners(text, *m.span()), "name", rule, 0.88, 110))
+                    if rule.side == "before":
+                        gap = re.match(r"[\s:,\"<-]*", text[end : end + rule.window]).end()
+                        m = _PERSON.match(text, end + gap, end + rule.window)
+                    else:
+                        m = next((x for x in reversed(list(_PERSON.finditer(text, max(0, at - rule.window), at))) if not text[x.end() : at].strip(" ,:")), None)
+                    if m:
+                        span = tx.extend_over_name_joiners(text, *m.span())
+                        if (rule.id, *span) not in seen and (rule.side == "after" or _BOUNDARY[rule.boundary].match(text, span[1])):
+                            seen.add((rule.id, *span))
+                            out.append(Candidate(*span, "name", rule.id, rule.base, rule.priority))
                 at = low.find(cue, end)
     return out
 
@@ -156,12 +255,13 @@ def scan_anchored(text: str, cues: dict[str, tuple[str, ...]] = CUES, window: in
 def detect(text: str, rules=CORE, chain: tuple[str, ...] = ("en-US", "global"), dictionaries: dict[str, tuple[str, list[str], bool]] | None = None, extra=()) -> Pool:
     """All candidates. Later locales of the chain yield to spans an earlier one has claimed, unless they contain them."""
     pool = Pool()
+    low, digit = text.lower(), any(map(text.__contains__, "0123456789"))
     claimed: list[tuple[int, int]] = []
     seen: set[tuple[str, int, int]] = set()
     for locale in chain:
         new = []
         for rule in admitted(rules, (locale,)) if locale != "global" else admitted(rules, ()):
-            for c in scan_rule(rule, text):
+            for c in scan_rule(rule, text, low, digit):
                 if (c.rule, c.start, c.end) in seen:
                     continue
                 seen.add((c.rule, c.start, c.end))
@@ -174,7 +274,7 @@ def detect(text: str, rules=CORE, chain: tuple[str, ...] = ("en-US", "global"),
             (pool.vetoed if c.rejected or c.reason and c.evidence == "rule" else pool.live).append(c)
     for name, (cls, terms, case) in (dictionaries or {}).items():
         pool.live += scan_dictionary(name, terms, cls, text, case)
-    pool.live += scan_anchored(text)
+    pool.live += scan_anchored(text, chain=chain)
     for recognizer in extra:
         for c in recognizer(text, list(pool.live)):
             if not math.isfinite(c.score):
@@ -247,33 +347,43 @@ def decide(new: Candidate, old: Candidate, enclosing: bool) -> tuple[Candidate,
 
 
 def _fold(pool: list[Candidate], enclosing: bool) -> tuple[list[Candidate], list[tuple[Candidate, str]], bool]:
-    slots: list[Candidate] = []
+    """Candidates in total order take slots; of the rivals a newcomer overlaps, the one that came first meets it. Slots
+    are disjoint and kept by place, so its rivals are neighbours."""
+    starts: list[int] = []
+    slots: list[tuple[int, Candidate]] = []  # (arrival, candidate), by start
     losers: list[tuple[Candidate, str]] = []
-    used = False
+    used, arrivals = False, 0
     for c in sorted(pool, key=order_key):
         while True:
-            at = next((i for i, s in enumerate(slots) if overlaps(c, s)), None)
-            if at is None:
-                slots.append(c)
+            low = bisect_right(starts, c.start)
+            low -= bool(low) and slots[low - 1][1].end > c.start
+            high = bisect_left(starts, c.end, low)
+            if low >= high:
+                starts.insert(low, c.start)
+                slots.insert(low, (arrivals, c))
+                arrivals += 1
                 break
-            old = slots[at]
+            at = min(range(low, high), key=lambda i: slots[i][0])
+            arrival, old = slots[at]
             won, rung = decide(c, old, enclosing)
             used |= rung == "same_class_containment"
             if won is old:
-                slots[at] = replace(old, decided_by=rung if old.decided_by == "none" else old.decided_by)
+                slots[at] = arrival, replace(old, decided_by=rung if old.decided_by == "none" else old.decided_by)
                 losers.append((c, rung))
                 break
             losers.append((old if won is c or rung != "merged" else c, rung))
-            del slots[at]
             won = replace(won, decided_by=rung)
-            if rung == "merged":
-                slots.insert(at, won)
+            if rung == "merged":  # the same span
+                slots[at] = arrival, won
                 break
-            for s in [s for s in slots if overlaps(won, s)]:
-                slots.remove(s)
-                losers.append((s, rung))
+            del starts[at], slots[at]
+            low = bisect_right(starts, won.start)
+            low -= bool(low) and slots[low - 1][1].end > won.start
+            high = bisect_left(starts, won.end, low)
+            losers += [(s, rung) for _, s in sorted(slots[low:high], key=lambda s: s[0])]
+            del starts[low:high], slots[low:high]
             c = won
-    return sorted(slots, key=lambda s: (s.start, s.end)), losers, used
+    return [s for _, s in slots], losers, used
 
 
 def covers(a: list[Candidate], b: list[Candidate]) -> bool:
@@ -338,6 +448,7 @@ def residual_cells(won: list[Candidate], losers: list[tuple[Candidate, str]], pr
 
 # repeated values ----------------------------------------------------------------------------------------------
 
+#: Least sizes of values and parts, parts of a name, and patterns beyond which a document is refused.
 MIN_VALUE, MIN_DIGITS, MIN_PART, MAX_PARTS, MAX_PATTERNS = 4, 6, 3, 6, 200_000
 COMMON = {"and", "the", "for", "von", "van", "der", "den", "del", "team", "support", "office", "gmbh", "group", "mail", "info", "sales", "will", "may", "mark"}
 
@@ -352,7 +463,8 @@ def sweep_patterns(values: list[tuple[str, str]]) -> dict[str, str]:
         if cls == "name" and 1 < len(parts) <= MAX_PARTS:
             for p in parts:
                 if len(p) >= MIN_PART and p.lower() not in COMMON and p[0].isupper():
-                    out.setdefault(p, cls)
+                    for spelling in tx.word_spellings(p):
+                        out.setdefault(spelling, cls)
     if len(out) > MAX_PATTERNS:
         raise ValueError("too many repeat patterns: refusing rather than skipping some")
     return out

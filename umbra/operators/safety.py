@@ -46,21 +46,26 @@ def leak_stats(diff: DataFrame) -> DataFrame:
     return diff.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def gates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with skip: texts that are mostly digits, or have no capital inside a sentence, need no model."""
-    numeric = F.regexp_count(text, F.lit("[0-9]")) * 2 > F.length(text)
-    return docs.withColumn("skip", F.coalesce(numeric | ~F.col(text).rlike(r"[a-zà-ÿ,;] +[A-ZÀ-Þ]"), F.lit(True)))
+def gates(docs: DataFrame, text: str = "text", manifest: str | None = None) -> DataFrame:
+    """``docs`` with skip: texts that are mostly digits (six at least, and twice as many as letters) or have no capital but
+    at the start of a sentence need no model, nor do, with a manifest, texts with tokens and neither ``@`` nor many digits."""
+    digits, letters = F.regexp_count(text, F.lit("[0-9]")), F.regexp_count(text, F.lit(r"\p{L}"))
+    numeric = (digits >= 6) & (digits > 2 * letters)
+    skip = numeric | ~F.col(text).rlike(r"[^\s.!?]\s*\p{Lu}")
+    if manifest:
+        skip = skip | (F.size(manifest) > 0) & ~F.col(text).contains("@") & ~numeric
+    return docs.withColumn("skip", F.coalesce(skip, F.lit(True)))
 
 
 def enforce(clean: DataFrame, diff: DataFrame, mode: str = "redact") -> DataFrame:
     """``clean`` (doc_id, session_id, clean_text) after the net: status and final_text.
 
     strict refuses a document with leaks, tolerant only warns, redact writes class markers over uncovered bytes, and
-    resolve tokenizes them (through ``protect`` with the leaks as candidates; markers stand in here if it can't).
+    resolve needs the nets, to scan again: see ``nets.enforce``.
     """
     from umbra.operators.protect import splice
 
-    if mode not in ("strict", "tolerant", "redact", "resolve"):
+    if mode not in ("strict", "tolerant", "redact"):
         raise ValueError(f"unknown mode {mode}")
     leaks = diff.where("kind IN ('uncovered', 'partial_bleed')")
     count = leaks.groupBy("doc_id").agg(F.count("*").alias("n_leaks"))

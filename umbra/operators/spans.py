@@ -42,8 +42,10 @@ def merge(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def subtract(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """The parts of ``left`` that no interval of ``right`` covers, merged."""
-    edges = lambda d, side: merge(d, keys).select(*keys, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e")).select(*keys, "e.at", F.when(F.lit(side == "l"), F.col("e.d")).otherwise(0).alias("l"), F.when(F.lit(side == "r"), F.col("e.d")).otherwise(0).alias("r"))
-    points = edges(left, "l").unionByName(edges(right, "r")).groupBy(*keys, "at").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    side = lambda d, n: d.select(*keys, "start", "end", F.lit(n).alias("__side"))
+    both = merge(side(left, "l").unionByName(side(right, "r")), [*keys, "__side"])
+    edges = both.select(*keys, "__side", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e"))
+    points = edges.groupBy(*keys, F.col("e.at").alias("at")).agg(*(F.sum(F.when(F.col("__side") == n, F.col("e.d")).otherwise(0)).alias(n) for n in ("l", "r")))
     w = Window.partitionBy(*keys).orderBy("at")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     swept = points.select(*keys, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), F.sum("l").over(run).alias("in_l"), F.sum("r").over(run).alias("in_r"))

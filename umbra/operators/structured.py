@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from umbra.operators.context import KEY_CLASSES
+
 
 def leaves(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """key, field_name and text of every string column; numbers, booleans and nulls are never rewritten."""
@@ -19,12 +21,9 @@ def assemble(rows: DataFrame, done: DataFrame, key: str, columns: list[str]) ->
 
 
 def field_class(name):
-    """Class that a record's key suggests."""
-    low = F.lower(name)
-    return F.when(low.rlike("e_?mail"), "email").when(low.rlike("phone|mobile|tel"), "custom:phone").when(low.rlike("iban"), "custom:iban").when(low.rlike("city|street|address|country"), "location").when(low.rlike("company|organi[sz]ation|employer"), "organization").when(low.rlike("name"), "name")
-
-
-def record_guess(arguments: DataFrame, values: DataFrame) -> DataFrame:
-    """Arguments (call_id, text) that spell a private record value (record_id, value), spaces and case apart."""
-    flat = lambda c: F.lower(F.regexp_replace(c, r"[\s'\"._-]", ""))
-    return arguments.withColumn("k", flat(F.col("text"))).join(values.where(F.length("value") >= 3).select("record_id", flat(F.col("value")).alias("k")), "k").select("call_id", "record_id").distinct()
+    """Class that a record's key names, by its letters and digits alone."""
+    key = F.lower(F.regexp_replace(name, "[^A-Za-z0-9]", ""))
+    out = F.lit(None).cast("string")
+    for cls, keys in KEY_CLASSES.items():
+        out = F.when(key.isin(keys.split()), cls).otherwise(out)
+    return out

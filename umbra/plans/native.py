@@ -9,6 +9,7 @@ from umbra.functions import text as tx
 from umbra.functions import validators as va
 from umbra.operators import protect as pr
 from umbra.operators import spans as sp
+from umbra.operators.cut import cut
 
 #: rule: (class, rule priority, pattern); plain enough for any engine's regular expressions.
 RULES = {
@@ -75,7 +76,7 @@ def edits(won: DataFrame, policy: list, default: str = "tokenize") -> DataFrame:
 
 def clean(docs: DataFrame, policy: list = (), default: str = "tokenize") -> tuple[DataFrame, DataFrame]:
     """(documents with clean_text and manifest, edits)."""
-    changed = edits(resolved(candidates(docs)), list(policy), default)
+    changed = cut(edits(cut(resolved(cut(candidates(docs)))), list(policy), default))
     return pr.splice(docs, changed.where("action <> 'preserve'")), changed
 
 

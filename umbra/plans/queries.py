@@ -225,9 +225,8 @@ def dlp_events(spark, d):
 def sweep_exact_repeats(spark, d):
     """Copies of found values in all documents of their session: values are collected by session, texts scanned once."""
     docs = nv.documents(spark, d)
-    vals = nv.resolved(nv.candidates(docs)).where("length(value) >= 4").groupBy("session_id", "value").agg(F.min("class").alias("class"))
-    hit = docs.join(vals, "session_id").where(F.col("text").contains(F.col("value")))
-    return hit.select("doc_id", "class", "value", (F.size(F.split("text", F.concat(F.lit("\\Q"), "value", F.lit("\\E")), -1)) - 1).alias("copies"))
+    vals = nv.resolved(nv.candidates(docs)).where("length(value) >= 4").groupBy("session_id", F.col("value").alias("raw")).agg(F.min("class").alias("class"))
+    return protect.session_copies(docs, vals).select("doc_id", "class", F.col("raw").alias("value"), "copies")
 
 
 @_q("""WITH t AS (SELECT item_id, regexp_extract(text, '^[^ ]+ [^ ]+') AS term FROM benchmark), u AS (SELECT DISTINCT term FROM t WHERE length(term) > 6)
@@ -519,7 +518,7 @@ def locale_gated_postal(spark, d):
     return nv.table(spark, d, "documents").where((F.col("lang") == "de") & F.col("text").rlike("[0-9]{5}")).select("doc_id", found[0].alias("first_code"), F.size(found).alias("n"))
 
 
-@_q("SELECT doc_id, (length(text) - length(regexp_replace(text, '[0-9]', '', 'g'))) * 2 > length(text) OR NOT regexp_matches(text, '[a-zà-ÿ,;] +[A-ZÀ-Þ]') AS skip FROM documents")
+@_q("SELECT doc_id, coalesce(length(regexp_replace(text, '[^0-9]', '', 'g')) >= 6 AND length(regexp_replace(text, '[^0-9]', '', 'g')) > 2 * length(regexp_replace(text, '[^\\pL]', '', 'g')) OR NOT regexp_matches(text, '[^\\s.!?]\\s*\\p{Lu}'), true) AS skip FROM documents")
 def net_skip_gates(spark, d):
     return safety.gates(nv.table(spark, d, "documents")).select("doc_id", "skip")
 
@@ -548,3 +547,11 @@ def ocr_reading_order(spark, d):
     w = nv.table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("i", "text"))
     words = w.select("doc_id", (F.floor(F.col("i") / 200)).cast("int").alias("page"), ((F.col("i") % 8) * 100).cast("int").alias("x"), (F.floor(F.col("i") % 200 / 8) * 20).cast("int").alias("y"), F.lit(90).alias("w"), F.lit(12).alias("h"), "text", F.lit(0.9).alias("conf"))
     return documents.merge_pages(documents.reading_order(words)).select("doc_id", "pages", "text")
+
+
+# generated cases ----------------------------------------------------------------------------------------------
+
+from umbra.plans import cases  # noqa: E402
+
+QUERIES |= cases.QUERIES
+ORACLES |= cases.ORACLES
