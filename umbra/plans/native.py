@@ -27,8 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan in fewer partitions than there are cores is dealt out to them, as matching costs far more than moving a
+    small table; a large table has more partitions than that, and nothing moves."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.coalesce("source", F.lit("")).alias("session_id"), F.col("doc_id").alias("seq"), "text")
 
 
@@ -80,4 +87,4 @@ def clean(docs: DataFrame, policy: list = (), default: str = "tokenize") -> tupl
     return pr.splice(docs, changed.where("action <> 'preserve'")), changed
 
 
-__all__ = ["RULES", "candidates", "class_rank", "clean", "documents", "edits", "resolved", "table", "tokens", "tx"]
+__all__ = ["RULES", "spread", "candidates", "class_rank", "clean", "documents", "edits", "resolved", "table", "tokens", "tx"]

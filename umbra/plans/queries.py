@@ -264,7 +264,7 @@ def dictionary_match(spark, d):
 @_q()
 def engine_candidates(spark, d):
     """The whole rule pack with its resolver; ordered folds have no SQL."""
-    return protect.candidates(nv.table(spark, d, "documents")).select("doc_id", "stage", "start", "end", "class", "recognizer_id", "decided_by", "validator_fail_reason")
+    return protect.candidates(nv.spread(nv.table(spark, d, "documents"))).select("doc_id", "stage", "start", "end", "class", "recognizer_id", "decided_by", "validator_fail_reason")
 
 
 @_q("SELECT doc_id, coalesce(text, '') AS restored, 'restored' AS decision FROM documents")
@@ -276,7 +276,7 @@ def engine_roundtrip(spark, d):
 
 @_q()
 def anchored_name(spark, d):
-    return protect.candidates(nv.table(spark, d, "documents")).where("recognizer_id LIKE 'name.%'").select("doc_id", "start", "end", "recognizer_id", "value")
+    return protect.candidates(nv.spread(nv.table(spark, d, "documents"))).where("recognizer_id LIKE 'name.%'").select("doc_id", "start", "end", "recognizer_id", "value")
 
 
 # safety net, scoring ------------------------------------------------------------------------------------------
