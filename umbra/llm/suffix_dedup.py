@@ -39,8 +39,8 @@ LENGTH, K, BLOCK = 100, 32, 16
 W, REACH = LENGTH - K + 1, LENGTH - K
 #: Bytes hashed at a time; anchors held in a map task before they are passed on; symbols sorted at a time.
 SEGMENT, HELD, SORTED = 1 << 19, 1 << 20, 20_000
-#: Contexts of one anchor that a task may gather.
-CROWD = 4096
+#: Contexts of one anchor that a task may gather: about 11 MB of them.
+CROWD = 65_536
 #: Texts in the sample that shows which anchors are frequent, and contexts there that make one so. It only decides
 #: where rows go.
 SAMPLE_ROWS, FREQUENT = 2000, 16
