@@ -426,7 +426,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     def contexts(of: DataFrame) -> DataFrame:
         listed = of.groupBy("doc", "v").agg(F.collect_list(F.struct("h", "start", "end")).alias("edges"))
-        return dealt.join(listed, ["doc", "v"]).select("doc", "v", "text", "edges").mapInArrow(_contexts, _CONTEXT)
+        # all of the dealt columns, so that both joins read one shuffle
+        return dealt.join(listed, ["doc", "v"]).select("doc", "v", "text", "edges", "doc_id").mapInArrow(_contexts, _CONTEXT)
 
     spans = [found.where("h IS NULL").select("doc", "v", "start", "end")]
     few = edges
