@@ -38,9 +38,11 @@ from umbra.llm.gsaca import shared_prefixes, suffix_array
 LENGTH, K, BLOCK = 100, 32, 16
 W, REACH = LENGTH - K + 1, LENGTH - K
 #: Bytes hashed at a time; anchors held in a map task before they are passed on; symbols sorted at a time.
-SEGMENT, HELD, SORTED = 1 << 19, 1 << 20, 20_000
+SEGMENT, HELD, SORTED = 1 << 19, 1 << 18, 20_000
 #: Contexts of one anchor that a task may gather: about 11 MB of them.
 CROWD = 65_536
+#: Members of clusters whose windows are compared at a time.
+MEMBERS = 8192
 #: Texts in the sample that shows which anchors are frequent, and contexts there that make one so. It only decides
 #: where rows go.
 SAMPLE_ROWS, FREQUENT = 2000, 16
@@ -123,17 +125,27 @@ def _map(batches):
     size = 0
 
     def flush():
-        h, c, doc, v, at, right = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((at, v, doc, c, h))
-        twin = np.concatenate([[False], np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (h, c, doc, v, at)])])  # of a repeated row
-        h, c, doc, v, at, right = (x[order[~twin]] for x in (h, c, doc, v, at, right))
-        again = np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])])
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held.clear()
+        order = np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))
+        for i in range(6):
+            columns[i] = columns[i][order]
+        del order
+        again = np.ones(len(columns[0]), bool)
+        again[0] = False
+        for x in columns[:2]:
+            again[1:] &= x[1:] == x[:-1]
+        twin = again.copy()  # of a repeated row
+        for x in columns[2:5]:
+            twin[1:] &= x[1:] == x[:-1]
+        if twin.any():
+            columns, again = [x[~twin] for x in columns], again[~twin]
+        h, c, doc, v, at, right = columns
         keep = ~again
         yield _batch("h c doc v at", h[keep], c[keep], doc[keep], v[keep], at[keep] * 256 + (right - at)[keep])
         if again.any():
             d, a, b, w = _merged(doc[again], np.maximum(at[again] - REACH, 0), right[again], v[again])
             yield _batch("h c doc v at", mix(d.view(np.uint64) + w.view(np.uint64)), a, d, w, -1 - b)
-        held.clear()
 
     for batch in batches:
         for doc, v, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -282,29 +294,43 @@ def covered(group: np.ndarray, left: np.ndarray, bodies: list[bytes]) -> tuple[n
     cluster = np.cumsum(~together)[member]
     if not len(at):
         return nothing
-    # windows whose first whole block is the cluster's first: they start up to BLOCK - 1 bytes before it
-    ctx = np.repeat(context[at], BLOCK)
-    start = np.repeat(number[at] * BLOCK - span, BLOCK) - np.tile(np.arange(BLOCK), len(at))  # from the anchor
-    clusters = np.repeat(cluster, BLOCK)
     size = np.array([len(b) for b in bodies], np.int64)
-    ok = (start >= -left[ctx]) & (start + LENGTH <= size[ctx] - left[ctx]) & (start <= 0) & (start >= -REACH)
-    ctx, start, clusters = ctx[ok], start[ok], clusters[ok]
     joined = np.frombuffer(b"".join(bodies), np.uint8)
-    base = np.concatenate([[0], np.cumsum(size)])
-    keys = np.zeros(len(ctx), np.uint64)
+    base = np.cumsum(size) - size
+    # clusters are told apart by themselves, some thousand members at a time
+    new = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]]))
+    cuts = [0]
+    for c in new[1:].tolist():
+        if c - cuts[-1] >= MEMBERS:
+            cuts.append(c)
+    found = []
+    for i, j in zip(cuts, [*cuts[1:], len(at)], strict=True):
+        ctx, a = _again(joined, base, size, left, context[at[i:j]], number[at[i:j]] * BLOCK - span, cluster[i:j])
+        if len(ctx):
+            found.append(_merged(ctx, a, a + LENGTH)[:3])
+    if not found:
+        return nothing
+    return _merged(*(np.concatenate(x) for x in zip(*found, strict=True)))[:3]
+
+
+def _again(joined: np.ndarray, base: np.ndarray, size: np.ndarray, left: np.ndarray, context: np.ndarray, first: np.ndarray, cluster: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, start in it) of the windows that repeat one of their cluster: those whose first whole block is the
+    cluster's first, which start up to BLOCK - 1 bytes before it (``first``, counted from the anchor)."""
+    ctx = np.repeat(context, BLOCK)
+    start = np.repeat(first, BLOCK) - np.tile(np.arange(BLOCK), len(context))
+    ok = (start >= -left[ctx]) & (start + LENGTH <= size[ctx] - left[ctx]) & (start <= 0) & (start >= -REACH)
+    ctx, start, kind = ctx[ok], start[ok], np.repeat(cluster, BLOCK)[ok]
     where = base[ctx] + left[ctx] + start
+    keys = np.zeros(len(ctx), np.uint64)
     for a in range(0, len(joined), SEGMENT):  # sums of one segment at a time, as powers are bounded
-        mine = (where >= a) & (where < a + SEGMENT)
-        if mine.any():
+        mine = np.flatnonzero((where >= a) & (where < a + SEGMENT))
+        if len(mine):
             sums = _sums(joined[a : a + SEGMENT + LENGTH])
             w = where[mine] - a
             keys[mine] = (sums[w + LENGTH] - sums[w]) * _DOWN[w]
-    keys = mix(mix(keys) + mix(clusters.astype(np.uint64) * np.uint64(256) + (start + 128).astype(np.uint64)))
+    keys = mix(mix(keys) + mix(kind.astype(np.uint64) * np.uint64(256) + (start + 128).astype(np.uint64)))
     later = _later(joined, where, keys, ctx)
-    if not len(later):
-        return nothing
-    at = start[later] + left[ctx[later]]
-    return _merged(ctx[later], at, at + LENGTH)[:3]
+    return ctx[later], start[later] + left[ctx[later]]
 
 
 _CONTEXT = "h long, doc long, v long, pos long, n_left long, body binary"
