@@ -41,6 +41,30 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system: idle workers would hold it beside the next stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def slices(batches, column: int, most: int = 2 << 20):
+    """Arrow batches in slices with about ``most`` bytes in a string or binary column, so that what Python makes of one is
+    bounded whatever the number and length of a batch's rows."""
+    from umbra.llm._tokens import by_bytes, utf8
+
+    for batch in batches:
+        for a, b in by_bytes(utf8(batch.column(column))[1], most):
+            yield batch.slice(a, b - a)
+    release()
+
+
 def row_count(df: DataFrame) -> int:
     """Rows of a checkpointed or read table, counted in place: ``count`` would shuffle a row from every task."""
     return df._jdf.queryExecution().toRdd().count()

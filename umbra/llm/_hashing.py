@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of a buffer that are hashed together; longer texts are cut at gaps between words.
-BUFFER = 1 << 20
+BUFFER = 1 << 18
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True

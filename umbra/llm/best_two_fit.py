@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm import _tokens
-from umbra.llm._common import checkpointed
+from umbra.llm._common import checkpointed, slices
 
 SIZE, END_ID = 4096, 1
 #: Pieces of one length that one task ranks, about.
@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END_ID,
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             data, offsets = _tokens.utf8(batch.column(1))
             for a, b in _tokens.by_bytes(offsets):
                 flat, sizes = _tokens.word_ids(tokenizer).encode(data, offsets[a : b + 1])

@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm import _hashing
-from umbra.llm._common import checkpointed, row_count, sized, written
+from umbra.llm._common import checkpointed, release, row_count, sized, slices, written
 
 PERCENT, K, ROWS, LISTS = 85, 64, 5, 40
 #: Sets and values in a part of a bundle.
-CHUNK_ROWS, CHUNK_VALUES = 512, 1 << 21
+CHUNK_ROWS, CHUNK_VALUES = 512, 1 << 19
 #: Values of a set that are ordered at once.
 SLICE = 1 << 12
 _ORDERS = _hashing.mix(np.arange(1, LISTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -60,7 +60,7 @@ def sketch_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """doc_id, n_shingles, set_id (null if empty), sketch, lids (keys of its lists; none with fewer than 6 shingles)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             sets = [_hashing.shingles(w) for w in _hashing.many_word_hashes(texts)]
             ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -83,7 +83,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     sized = pairs.join(one("a"), "a").join(one("b"), "b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2):
             a, b = ([np.frombuffer(s, np.uint64) for s in batch.column(c).to_pylist()] for c in ("s_a", "s_b"))
             est = [estimate(x, y) for x, y in zip(a, b, strict=True)]
             share = np.array([h / n for h, n in est])
@@ -100,15 +100,16 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"f_{x}"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             ok = []
-            for x, y in zip(batch.column("f_a").to_pylist(), batch.column("f_b").to_pylist(), strict=True):
+            for x, y in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b").mapInArrow(run, "a long, b long")
+    rows = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b").select("a", "f_a", "b", "f_b")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -231,6 +232,7 @@ def _cross_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         ids, comps, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
         sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
         found = compare(ids, comps, side, sets, table.column("main")[0].as_py())
+        release()
         return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
 
     return rows.groupBy("head", "low", "high").applyInArrow(run, "a long, b long").distinct()
@@ -240,7 +242,7 @@ def _sets(docs: DataFrame, text: str, key: str, needed: DataFrame, classes: Data
     """id and full set of the needed classes, from the texts of their representatives."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             sets = [_hashing.shingles(w) for w in _hashing.many_word_hashes([t or "" for t in batch.column(1).to_pylist()])]
             ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set_id", "shingles"])

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm._common import slices
+
 KINDS = ("assign", "access", "hex", "novel")
 MIN_NOVELTY, MIN_RUN, CONTEXT = 0.42, 20, 160
 #: Identifiers taken from the corpus, and documents that one must be in.
@@ -111,7 +113,7 @@ def dictionary(docs: DataFrame, text: str = "text") -> str:
     """The ``DICTIONARY`` identifiers near candidates that most documents have, rarer ones first; ties by name."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 0):
             n: Counter = Counter()
             for value in batch.column(0).to_pylist():
                 n.update(names_near(value))
@@ -153,7 +155,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{n} {'long' if n[:2] == 'n_' else 'string'}" for n in names[len(keep) :])])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, len(keep)):
             out = []
             for value in batch.column(len(keep)).to_pylist():
                 body = value or ""
