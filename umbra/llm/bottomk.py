@@ -254,7 +254,7 @@ def _sets(docs: DataFrame, text: str, key: str, needed: DataFrame, classes: Data
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose document stands for its component; of rows that repeat it, one."""
-    kept = checkpointed(near_duplicates(docs, text, key)).where("kept").select(F.col("doc_id").alias("__k")).distinct()
-    rows = docs.join(kept, F.col(key).eqNullSafe(F.col("__k")), "left_semi")
-    nulls, ids = rows.where(F.col(key).isNull()), rows.where(F.col(key).isNotNull())
-    return ids.dropDuplicates([key]).unionByName(nulls)
+    kept = checkpointed(near_duplicates(docs, text, key).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__k")).distinct())
+    # join and choice among repeated ids share one shuffle; rows without an id all stay
+    ids = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("__k"), "left_semi").dropDuplicates([key])
+    return ids.unionByName(docs.where(F.col(key).isNull()))
