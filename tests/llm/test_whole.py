@@ -126,3 +126,39 @@ def test_small_groups_are_judged_by_their_language_or_the_table(spark):
     assert sum(r["kept"] for r in got) >= len(docs) - 4 - 6
     stats = quality_mcd.base_statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
     assert dict(quality_mcd.estimates(stats)[0].groupBy("__g").count().collect()) == {'{"l":"en","s":"a"}': 1, 'lang {"l":"en"}': 1, "all": 1, "{}": 1, '{"l":"de"}': 1, 'lang {"l":"de"}': 1, "lang {}": 1}
+
+def test_small_sets_lose_no_link(spark):
+    """Texts of 6 to 16 shingles with a word added or taken at either end, against all pairs."""
+    rnd = random.Random(11)
+    texts = []
+    for n in list(range(10, 21)) * 12:
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+        texts += [base, base + ["x"], ["y"] + base, base + ["x", "z"], base[1:], base[:-1] + ["q"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [{" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in bottomk.near_duplicates(df).collect()}
+    assert got == {i: root(i) for i in range(len(sets))}
+
+
+def test_small_keys_meet_exactly():
+    """Every set of 6 to 11 values meets each set with one value more, and only sets up to 12 have such keys."""
+    for n in range(4, 15):
+        values = np.sort(np.random.default_rng(n).integers(1, 1 << 62, n).astype(np.uint64))
+        whole, less = bottomk.small_keys(values)
+        assert (whole is not None) == (6 <= n <= 11) and len(less) == (n if 7 <= n <= 12 else 0)
+        for i, key in enumerate(less):
+            assert key == bottomk.small_keys(np.delete(values, i))[0]

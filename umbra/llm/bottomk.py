@@ -6,8 +6,10 @@ meet in inverted lists: a list is keyed by the ``ROWS`` values of the full set t
 of values, so that a passage in many documents doesn't put them all in one list. Keys are not taken from the sketches:
 those of unequally large sets are less alike than the sets. A list holds both sets of a pair if the first values of
 their union are in both, C(shared, ROWS) / C(union, ROWS), whatever the sizes of the two; all ``LISTS`` miss a pair at
-the threshold with a probability of at most 1e-8 (about 1e-10 for large sets, 1.4e-6 for 6 values against 7). Sets of
-fewer than 6 can't be 0.85 similar without being equal and get no lists.
+the threshold with a probability of at most 2e-9 (6e-11 for large sets). Small sets meet exactly: with a union of at
+most 13, two sets are similar enough only if one is the other and one value more. So sets of up to ``SMALL`` values have
+no lists; they are looked up by hash among the sets one larger, each without every value in turn. Sets of fewer than 6
+can't be 0.85 similar without being equal.
 
 Inside a list nothing is paired with everything: each list has a centre, its smallest id, and members are
 paired with it. Union sketches estimate the pairs' similarity (k smallest of both, those in both), pairs that are
@@ -35,6 +37,8 @@ from umbra.llm import _hashing
 from umbra.llm._common import checkpointed, release, row_count, sized, slices, written
 
 PERCENT, K, ROWS, LISTS = 85, 64, 5, 40
+#: The largest set whose partners all differ from it by one value: 11 of 12 is above the threshold, 11 of 13 below.
+SMALL = 11
 #: Sets and values in a part of a bundle.
 CHUNK_ROWS, CHUNK_VALUES = 512, 1 << 19
 #: Values of a set that are ordered at once.
@@ -56,17 +60,33 @@ def list_keys(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def small_keys(values: np.ndarray) -> tuple[int | None, list[int]]:
+    """Hash of a set of 6 to SMALL values (else None), and of a set of 7 to SMALL + 1 without each of its values."""
+    if not 6 <= len(values) <= SMALL + 1:
+        return None, []
+    mixed = _hashing.mix(values)
+    with np.errstate(over="ignore"):
+        whole = mixed.sum(dtype=np.uint64)
+        less = (whole - mixed).view(np.int64).tolist() if len(values) > 6 else []
+    return (int(whole.astype(np.int64)) if len(values) <= SMALL else None), less
+
+
 def sketch_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, set_id (null if empty), sketch, lids (keys of its lists; none with fewer than 6 shingles)."""
+    """doc_id, n_shingles, set_id (null if empty), sketch, lids (keys of its lists; none up to SMALL shingles), whole and
+    less (``small_keys``)."""
 
     def run(batches):
         for batch in slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             sets = [_hashing.shingles(w) for w in _hashing.many_word_hashes(texts)]
             ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([s[:K].tobytes() for s in sets], pa.binary()), pa.array([list_keys(s).tolist() if len(s) >= 6 else [] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_id", "sketch", "lids"])
+            lids = [list_keys(s).tolist() if len(s) > SMALL else [] for s in sets]
+            small = [small_keys(s) for s in sets]
+            columns = [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([s[:K].tobytes() for s in sets], pa.binary())]
+            columns += [pa.array(lids, pa.list_(pa.int64())), pa.array([w for w, _ in small], pa.int64()), pa.array([x for _, x in small], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", "sketch", "lids", "whole", "less"])
 
-    return docs.select(key, text).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sketch binary, lids array<long>")
+    return docs.select(key, text).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sketch binary, lids array<long>, whole long, less array<long>")
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -131,12 +151,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """doc_id, n_shingles, component_id, kept of every row."""
     rows = checkpointed(sketch_rows(docs, text, key))
     # a class of equal sets carries its smallest id; an id with several sets is one document, linked through all of them
-    found = rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"), F.first("lids").alias("lids"))
+    found = rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("lids", "whole", "less")))
     classes = checkpointed(found.withColumnRenamed("doc", "id"))
     lists = classes.select(F.explode("lids").alias("lid"), "id")
     # the smallest id of a list: lists of one large group mostly share it, so its members have few centres
     heads = lists.groupBy("lid").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1").select("lid", "head")
-    pairs = checkpointed(lists.join(heads, "lid").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    paired = lists.join(heads, "lid").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    # a small set is the centre of those with one value more; all of these link with it
+    owners = classes.where("whole IS NOT NULL").select(F.col("whole").alias("lid"), F.col("id").alias("a"), (F.col("n") + 1).alias("n"))
+    larger = classes.select(F.explode("less").alias("lid"), F.col("id").alias("b"), "n")
+    pairs = checkpointed(paired.union(larger.join(owners, ["lid", "n"]).where("a <> b").select("a", "b")).distinct())
     thin = classes.select("id", "n", "sketch")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     labels = None
