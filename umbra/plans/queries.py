@@ -229,36 +229,52 @@ def sweep_exact_repeats(spark, d):
     return protect.session_copies(docs, vals).select("doc_id", "class", F.col("raw").alias("value"), "copies")
 
 
+#: Terms of one automaton; larger dictionaries take several passes over the texts.
+TERMS = 100_000
+
+
+def term_counts(docs, terms):
+    """doc_id, term, n of the terms (column t) found in each text, copies not overlapping. A block of at most about
+    ``TERMS`` terms is held at once by a worker; the texts are read once a block."""
+    import pyarrow as pa
+
+    def scan(block):
+        def run(batches):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for t in block:
+                automaton.add_word(t, t)
+            automaton.make_automaton()
+            for batch in batches:
+                out = []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found: dict[str, int] = {}
+                    last: dict[str, int] = {}
+                    for end, t in automaton.iter(text or ""):
+                        if end - len(t) + 1 > last.get(t, -1):
+                            found[t], last[t] = found.get(t, 0) + 1, end
+                    out += [(doc, t, n) for t, n in found.items()]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int32()), strict=True)], names=["doc_id", "term", "n"])
+
+        return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, term string, n int")
+
+    blocks = -(-terms.count() // TERMS)
+    found = docs.sparkSession.createDataFrame([], "doc_id long, term string, n int")
+    for i in range(blocks):
+        block = [r[0] for r in terms.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == i).collect()]
+        if block:
+            found = found.union(scan(block)) if i else scan(block)
+    return found
+
+
 @_q("""WITH t AS (SELECT item_id, regexp_extract(text, '^[^ ]+ [^ ]+') AS term FROM benchmark), u AS (SELECT DISTINCT term FROM t WHERE length(term) > 6)
  SELECT d.doc_id, u.term, CAST(len(string_split(d.text, u.term)) - 1 AS INTEGER) AS n FROM documents d JOIN u ON contains(d.text, u.term)""")
 def dictionary_match(spark, d):
-    """Terms (a bounded request dictionary) in documents, through one automaton a worker."""
-    import pyarrow as pa
-
-    terms = [r[0] for r in nv.table(spark, d, "benchmark").select(F.regexp_extract("text", "^[^ ]+ [^ ]+", 0).alias("t")).where("length(t) > 6").distinct().limit(100_001).collect()]
-    if len(terms) > 100_000:
-        raise ValueError("a request dictionary holds 100,000 terms at most")
-
-    def run(batches):
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for t in terms:
-            automaton.add_word(t, t)
-        automaton.make_automaton()
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found: dict[str, int] = {}
-                last: dict[str, int] = {}
-                for end, t in automaton.iter(text or ""):
-                    if end - len(t) + 1 > last.get(t, -1):
-                        found[t], last[t] = found.get(t, 0) + 1, end
-                out += [(doc, t, n) for t, n in found.items()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int32()), strict=True)], names=["doc_id", "term", "n"])
-
-    return nv.table(spark, d, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, term string, n int") if terms else spark.createDataFrame([], "doc_id long, term string, n int")
+    """Terms (a request's dictionary) in documents."""
+    terms = nv.table(spark, d, "benchmark").select(F.regexp_extract("text", "^[^ ]+ [^ ]+", 0).alias("t")).where("length(t) > 6").distinct()
+    return term_counts(nv.table(spark, d, "documents"), terms)
 
 
 @_q()
