@@ -41,6 +41,8 @@ PERCENT, K, ROWS, LISTS = 85, 64, 5, 40
 SMALL = 11
 #: Sets and values in a part of a bundle.
 CHUNK_ROWS, CHUNK_VALUES = 512, 1 << 19
+#: Tasks among which the members of one large bundle are dealt when they meet its figures.
+SALTS = 64
 #: Values of a set that are ordered at once.
 SLICE = 1 << 12
 _ORDERS = _hashing.mix(np.arange(1, LISTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -207,7 +209,9 @@ def _contested(pairs: DataFrame, labels: DataFrame, classes: DataFrame) -> DataF
     sums = placed.groupBy("head", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("values"))
     bundles = sums.groupBy("head").agg(F.sum("rows").alias("rows"), F.sum("values").alias("values"), F.max(F.struct("rows", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
     parts = F.ceil(F.greatest(F.col("rows") / CHUNK_ROWS, F.col("values") / CHUNK_VALUES)).cast("int")
-    return placed.join(bundles.select("head", F.col("m.comp").alias("main"), parts.alias("chunks")), "head").select("head", "id", "comp", "main", "chunks").distinct()
+    salted = bundles.select("head", F.col("m.comp").alias("main"), parts.alias("chunks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["head", "salt"]).select("head", "id", "comp", "main", "chunks").distinct()
 
 
 def compare(ids: np.ndarray, comps: np.ndarray, side: np.ndarray, sets: list[np.ndarray], main: int) -> list[tuple[int, int]]:
