@@ -42,7 +42,7 @@ SMALL = 11
 #: Sets and values in a part of a bundle.
 CHUNK_ROWS, CHUNK_VALUES = 512, 1 << 19
 #: Tasks among which the members of one large bundle are dealt when they meet its figures.
-SALTS = 64
+SALTS = 16
 #: Values of a set that are ordered at once.
 SLICE = 1 << 12
 _ORDERS = _hashing.mix(np.arange(1, LISTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
