@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from umbra.llm import bottomk, ivfpq, license_patience, quality_mcd, secret_novelty
+from umbra.llm import bottomk, ivfpq, license_patience, quality_mcd, secret_novelty, suffix_dedup
 
 
 def recall(frame, queries, k=20):
@@ -162,3 +164,41 @@ def test_small_keys_meet_exactly():
         assert (whole is not None) == (6 <= n <= 11) and len(less) == (n if 7 <= n <= 12 else 0)
         for i, key in enumerate(less):
             assert key == bottomk.small_keys(np.delete(values, i))[0]
+
+
+@pytest.fixture
+def dealt(spark, tmp_path):
+    """A small table over 64 files, and 64 shuffle partitions that are not put together again."""
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "4k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    rnd = random.Random(12)
+    shared = plain(rnd)
+    texts = [(i, f"{plain(rnd)} {shared if i % 7 == 0 else ''} {plain(rnd)}") for i in range(256)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(64, "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert docs.rdd.getNumPartitions() > 32
+    yield docs
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_repeats_of_a_small_table_take_few_files(dealt, monkeypatch):
+    tables, kept = [], []
+    for name, found in (("written", tables), ("checkpointed", kept)):
+        make = getattr(suffix_dedup, name)
+        monkeypatch.setattr(suffix_dedup, name, lambda df, make=make, found=found: found.append(make(df)) or found[-1])
+    out = suffix_dedup.repeated_spans(dealt)
+    assert [len(t.inputFiles()) for t in tables] == [1] and [t.rdd.getNumPartitions() for t in kept] == [1, 1]
+    assert out.rdd.getNumPartitions() == 1
+    got = {r["doc_id"]: r["n_removed"] for r in out.collect()}
+    length = min(n for i, n in got.items() if i and i % 7 == 0)
+    assert len(got) == 256 and length > 100 and not any(n for i, n in got.items() if i % 7 or not i)
+
+
+def test_repeats_are_cut_from_bounded_slices():
+    texts = [f"{i} " * 200_000 for i in range(8)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts), pa.array([None] * 8, pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()})))], names=["doc_id", "text", "spans"])
+    sizes = [b.num_rows for b in suffix_dedup._cut([batch])]
+    assert sum(sizes) == 8 and max(sizes) <= (2 << 20) // 400_000  # not all texts of a batch at a time

@@ -75,6 +75,18 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // TASK_ROWS)))
 
 
+def gathered(df: DataFrame, docs: DataFrame, rows: int, most: int = 20_000_000) -> DataFrame:
+    """``df``, made from ``docs`` with ``rows`` rows, in no more tasks than these need at TASK_ROWS rows and, by the plan's
+    estimate, ``most`` bytes each; fewer than that stay as they are.
+
+    Without Hadoop's native library the JVM launches short processes (chmod) for each file that a task writes to a local
+    folder, and until such a process starts its program, it is seen with all of the JVM's memory. So small tables that
+    are dealt over many partitions should not become as many files.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(max(1, -(-rows // TASK_ROWS), -(-size // most)), 1 << 20))
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: smaller than a checkpoint, and pruned by column."""
     import uuid

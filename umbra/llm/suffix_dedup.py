@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm._common import checkpointed, code_key, sized_broadcast, written
+from umbra.llm._common import checkpointed, code_key, gathered, sized_broadcast, slices, written
 from umbra.llm._hashing import mix
 from umbra.llm.gsaca import shared_prefixes, suffix_array
 
@@ -147,7 +147,7 @@ def _map(batches):
             d, a, b, w = _merged(doc[again], np.maximum(at[again] - REACH, 0), right[again], v[again])
             yield _batch("h c doc v at", mix(d.view(np.uint64) + w.view(np.uint64)), a, d, w, -1 - b)
 
-    for batch in batches:
+    for batch in slices(batches, 2):
         for doc, v, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             h, c, at, right = anchors(text.encode())
             if len(h):
@@ -384,7 +384,7 @@ def _crowded(contexts: DataFrame) -> DataFrame:
 
 
 def _contexts(batches):
-    for batch in batches:
+    for batch in slices(batches, 2):
         out = []
         for doc, v, text, edges in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             data = text.encode()
@@ -397,7 +397,7 @@ def _contexts(batches):
 
 def _cut(batches):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
-    for batch in batches:
+    for batch in slices(batches, 1):
         out = []
         for doc, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             data, merged = text.encode(), []
@@ -431,24 +431,27 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     spark = docs.sparkSession
     thin = docs.select(F.col(key).cast("long").alias("doc_id"), code_key(key).alias("doc"), F.coalesce(text, F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     # an id with different texts names several documents, told apart by v
-    several = checkpointed(thin.groupBy("doc").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("doc", F.lit(True).alias("several")))
+    count = docs.count()
+    several = thin.groupBy("doc").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b").select("doc", F.lit(True).alias("several"))
+    several = checkpointed(gathered(several, docs, count))
     if several.limit(1).count():
         thin = thin.join(several, "doc", "left").withColumn("v", F.when(F.col("several"), F.col("hash")).otherwise(F.lit(0)))
     else:
         thin = thin.withColumn("v", F.lit(0))
     thin = thin.select("doc_id", "doc", F.col("v").cast("long").alias("v"), "text")
-    frequent = np.array(_frequent(thin, docs.count()), np.int64)
+    frequent = np.array(_frequent(thin, count), np.int64)
     rows = thin.select("doc", "v", "text").mapInArrow(_map, _ROWS)
     if len(frequent):
         often = F.col("h").isin(frequent.tolist()) if len(frequent) <= 1000 else F.array_contains(F.lit(frequent.tolist()), F.col("h"))
         rows = rows.withColumn("by", F.when(often, F.col("c")).otherwise(F.lit(0))).repartition("h", "by").drop("by")
     else:
         rows = rows.repartition("h")
-    found = written(rows.sortWithinPartitions("h", "c", "doc", "v", "at").mapInArrow(_meeting(frequent), _FOUND))
+    found = rows.sortWithinPartitions("h", "c", "doc", "v", "at").mapInArrow(_meeting(frequent), _FOUND)
+    found = written(gathered(found, docs, count))
     # the texts are dealt out once for both joins
     dealt = thin.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc", "v")
     edges = found.where("h IS NOT NULL")
-    crowds = checkpointed(edges.groupBy("h").count().where(F.col("count") > CROWD).select("h"))
+    crowds = checkpointed(gathered(edges.groupBy("h").count().where(F.col("count") > CROWD).select("h"), docs, count))
 
     def contexts(of: DataFrame) -> DataFrame:
         listed = of.groupBy("doc", "v").agg(F.collect_list(F.struct("h", "start", "end")).alias("edges"))
@@ -468,4 +471,4 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         every = every.union(more)
     listed = every.groupBy("doc", "v").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     out = dealt.join(listed, ["doc", "v"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<bigint>>")
-    return out.withColumnRenamed("doc_id", key)
+    return gathered(out, docs, count).withColumnRenamed("doc_id", key)
