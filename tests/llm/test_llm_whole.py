@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from umbra.llm import bottomk, ivfpq, license_patience, quality_mcd, secret_novelty, suffix_dedup
+from umbra.llm import best_two_fit, bottomk, ivfpq, license_patience, quality_mcd, secret_novelty, suffix_dedup
 
 
 def recall(frame, queries, k=20):
@@ -202,3 +203,16 @@ def test_repeats_are_cut_from_bounded_slices():
     batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts), pa.array([None] * 8, pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()})))], names=["doc_id", "text", "spans"])
     sizes = [b.num_rows for b in suffix_dedup._cut([batch])]
     assert sum(sizes) == 8 and max(sizes) <= (2 << 20) // 400_000  # not all texts of a batch at a time
+
+
+def test_pieces_of_a_small_table_take_few_files(dealt, monkeypatch):
+    kept = []
+    make = best_two_fit.checkpointed
+    monkeypatch.setattr(best_two_fit, "checkpointed", lambda df: kept.append(make(df)) or kept[-1])
+    out = best_two_fit.pack_documents(dealt, public_tokenizers.path("word_bpe_49k.json"), 256)
+    assert [t.rdd.getNumPartitions() for t in kept] == [1] and out.rdd.getNumPartitions() == 1
+    got = out.collect()
+    assert {r["doc_id"] for r in got} == set(range(256))
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+    for a, b in zip(places, places[1:], strict=False):
+        assert b[1] == (a[1] + a[2] if a[0] == b[0] else 0)

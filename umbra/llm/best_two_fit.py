@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm import _tokens
-from umbra.llm._common import checkpointed, slices
+from umbra.llm._common import checkpointed, gathered, sized, slices
 
 SIZE, END_ID = 4096, 1
 #: Pieces of one length that one task ranks, about.
 BUCKET_ROWS = 100_000
+#: Bytes of a small table, dealt over many partitions, that one task encodes.
+ENCODED = 8_000_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -137,8 +139,8 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
                     sequence[mine], offset[mine] = base + bin_, offsets[slot]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    return sized(ranked.mapInArrow(run, schema), sum(counts.values()))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
-    return pack(checkpointed(pieces(docs, tokenizer, size)), size)
+    return pack(checkpointed(gathered(pieces(docs, tokenizer, size), docs, docs.count(), ENCODED)), size)
