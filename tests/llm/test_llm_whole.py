@@ -6,8 +6,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from umbra.llm import best_two_fit, bottomk, ivfpq, license_patience, quality_mcd, secret_novelty, suffix_dedup
+from umbra.llm._common import checkpointed
 
 
 def recall(frame, queries, k=20):
@@ -83,6 +85,14 @@ def test_near_duplicates_of_unequal_size_share_a_list():
         assert apart == 0, (small, large)
 
 
+def test_components_of_a_chain_keep_size_estimates_small(spark):
+    """Rounds over a chain: the plan's estimate of the table's size must not grow from round to round."""
+    links = checkpointed(spark.range(48).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    labels = bottomk.components(links)
+    assert {(r["id"], r["comp"]) for r in labels.collect()} == {(i, 0) for i in range(49)}
+    assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
+
+
 def test_near_duplicates_with_text_appended(spark):
     rnd = random.Random(9)
     texts = []

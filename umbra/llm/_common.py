@@ -31,6 +31,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``checkpointed`` as a table of unknown size, for rounds that join what earlier rounds made.
+
+    A checkpoint carries the plan's estimate of its size on, and that of a join is the product of both sides': over rounds
+    of joins its digits double each time, until such numbers fill the driver. Partitioning and order stay known.
+    """
+    spark = df.sparkSession
+    jvm, plan = spark._jvm, checkpointed(df)._jdf.queryExecution().logical()
+    session, _, constraints = (plan.otherCopyArgs().apply(i) for i in range(3))
+    plan = plan.copy(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), session, jvm.scala.Option.empty(), constraints)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
+
+
 def code_key(column: str):
     """A non-null long stand-in for a nullable id."""
     return F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm import _hashing
-from umbra.llm._common import checkpointed, release, row_count, sized, slices, written
+from umbra.llm._common import release, row_count, settled, sized, slices, written
 
 PERCENT, K, ROWS, LISTS = 85, 64, 5, 40
 #: The largest set whose partners all differ from it by one value: 11 of 12 is above the threshold, 11 of 13 below.
@@ -139,22 +139,22 @@ def components(links: DataFrame) -> DataFrame:
     n = 2 * row_count(links)
     few = lambda df: sized(df, n)
     both = few(links.select("a", "b").union(links.select("b", "a")))
-    labels = checkpointed(few(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("comp"))))
+    labels = settled(few(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("comp"))))
     while True:
         seen = few(both.join(labels.select(F.col("id").alias("b"), "comp"), "b")).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("seen"))
         near = few(labels.join(few(seen), "id").select("id", F.col("comp").alias("old"), F.least("comp", "seen").alias("near")))
         jump = labels.select(F.col("id").alias("near"), F.col("comp").alias("far"))
-        labels = checkpointed(few(near.join(jump, "near").select("id", "old", F.least("near", "far").alias("comp"))))
+        labels = settled(few(near.join(jump, "near").select("id", "old", F.least("near", "far").alias("comp"))))
         if labels.where("comp <> old").isEmpty():
             return labels.select("id", "comp")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    rows = checkpointed(sketch_rows(docs, text, key))
+    rows = settled(sketch_rows(docs, text, key))
     # a class of equal sets carries its smallest id; an id with several sets is one document, linked through all of them
     found = rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("lids", "whole", "less")))
-    classes = checkpointed(found.withColumnRenamed("doc", "id"))
+    classes = settled(found.withColumnRenamed("doc", "id"))
     lists = classes.select(F.explode("lids").alias("lid"), "id")
     # the smallest id of a list: lists of one large group mostly share it, so its members have few centres
     heads = lists.groupBy("lid").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1").select("lid", "head")
@@ -162,27 +162,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     # a small set is the centre of those with one value more; all of these link with it
     owners = classes.where("whole IS NOT NULL").select(F.col("whole").alias("lid"), F.col("id").alias("a"), (F.col("n") + 1).alias("n"))
     larger = classes.select(F.explode("less").alias("lid"), F.col("id").alias("b"), "n")
-    pairs = checkpointed(paired.union(larger.join(owners, ["lid", "n"]).where("a <> b").select("a", "b")).distinct())
+    pairs = settled(paired.union(larger.join(owners, ["lid", "n"]).where("a <> b").select("a", "b")).distinct())
     thin = classes.select("id", "n", "sketch")
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     labels = None
     pairs = sized(pairs, row_count(pairs))
-    todo = checkpointed(_plausible(pairs, thin))
+    todo = settled(_plausible(pairs, thin))
     if not todo.isEmpty():
         rows_todo = row_count(todo)
         todo = sized(todo, rows_todo)
         sets = written(_sets(docs, text, key, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes))
         # for every class its best pair; the same pair is often best for both
         ends = todo.select("a", "b", "est", F.explode(F.array("a", "b")).alias("end"))
-        best = checkpointed(ends.groupBy("end").agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+        best = settled(ends.groupBy("end").agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
         for confirmed in (
             lambda: _confirm(best, sets),
-            lambda: _confirm(checkpointed(_apart(todo.join(best, ["a", "b"], "left_anti"), labels, rows_todo)), sets),
+            lambda: _confirm(settled(_apart(todo.join(best, ["a", "b"], "left_anti"), labels, rows_todo)), sets),
             lambda: _cross_links(_contested(pairs, labels, thin), sets),
         ):
-            more = checkpointed(confirmed())
+            more = settled(confirmed())
             if labels is None or not more.isEmpty():
-                links = checkpointed(links.union(sized(more, row_count(more))))
+                links = settled(links.union(sized(more, row_count(more))))
                 labels = components(links)
     final = classes.select("set_id", "id", F.col("id").alias("comp"))
     if labels is not None:
@@ -282,7 +282,7 @@ def _sets(docs: DataFrame, text: str, key: str, needed: DataFrame, classes: Data
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose document stands for its component; of rows that repeat it, one."""
-    kept = checkpointed(near_duplicates(docs, text, key).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__k")).distinct())
+    kept = settled(near_duplicates(docs, text, key).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__k")).distinct())
     # join and choice among repeated ids share one shuffle; rows without an id all stay
     ids = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("__k"), "left_semi").dropDuplicates([key])
     return ids.unionByName(docs.where(F.col(key).isNull()))
