@@ -35,6 +35,16 @@ def test_neighbours_in_64_dimensions(spark):
     assert recall(made, made.where("vec_id % 20 = 0")) >= 0.9  # lists of about 130
 
 
+def test_neighbours_of_queries_unlike_most_rows(spark):
+    rng = np.random.default_rng(1)
+    x = np.zeros((8000, 64))
+    x[:, :8] = rng.normal(size=(10, 8))[rng.integers(0, 10, 8000)] + 0.01 * rng.normal(size=(8000, 8))
+    x[::20] = 0
+    x[::20, 8:] = rng.normal(size=(400, 56))
+    made = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert recall(made, made.where("vec_id % 20 = 0")) >= 0.9
+
+
 def test_license_with_further_copies():
     one = "alpha beta Released under the MIT License. gamma "
     rest = "delta epsilon zeta eta theta iota kappa"
