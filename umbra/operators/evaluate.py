@@ -41,12 +41,14 @@ def totals(scores: DataFrame) -> DataFrame:
 
 
 def per_class(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """By class of gold: gold_bytes, covered_bytes, leaked_bytes, entities, fully_covered."""
-    parts = gold.withColumn("entity", F.concat_ws(":", "doc_id", "start", "end"))
-    keyed = predicted.select("doc_id", "start", "end").join(parts.select("doc_id", "entity", F.col("start").alias("gs"), F.col("end").alias("ge"), "class"), "doc_id").where("start < ge AND gs < end")
-    inside = keyed.select("entity", "class", F.greatest("start", "gs").alias("start"), F.least("end", "ge").alias("end"))
-    covered = sp.merge(inside, ["entity", "class"]).groupBy("entity").agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
-    all_ = parts.select("entity", "class", (F.col("end") - F.col("start")).alias("size")).join(covered, "entity", "left").na.fill(0, ["covered"])
+    """By class of gold: gold_bytes, covered_bytes, leaked_bytes, entities, fully_covered. An interval that stands under
+    several classes counts in each; what is covered of it is a matter of its place alone. Empty intervals are no entities."""
+    real = gold.where("start < end")
+    one = real.select("doc_id", F.col("start").alias("gs"), F.col("end").alias("ge")).distinct()
+    inside = sp.merge(predicted.where("start < end"), ["doc_id"]).join(one, "doc_id").where("start < ge AND gs < end")
+    covered = inside.groupBy("doc_id", "gs", "ge").agg(F.sum(F.least("end", "ge") - F.greatest("start", "gs")).alias("covered"))
+    at = [F.col("g.doc_id") == F.col("c.doc_id"), F.col("g.start") == F.col("c.gs"), F.col("g.end") == F.col("c.ge")]
+    all_ = real.alias("g").join(covered.alias("c"), at, "left").select("g.class", (F.col("g.end") - F.col("g.start")).alias("size"), F.coalesce("covered", F.lit(0)).alias("covered"))
     return all_.groupBy("class").agg(F.sum("size").alias("gold_bytes"), F.sum("covered").alias("covered_bytes"), F.sum(F.col("size") - F.col("covered")).alias("leaked_bytes"), F.count("*").alias("entities"), F.count(F.when(F.col("covered") == F.col("size"), 1)).alias("fully_covered"))
 
 
