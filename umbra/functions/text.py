@@ -12,15 +12,13 @@ from pyspark.sql import functions as F
 _IGNORED = set(range(0x200B, 0x2010)) | set(range(0x202A, 0x202F)) | set(range(0x2060, 0x2070)) | set(range(0xFE00, 0xFE10)) | {0xAD, 0x34F, 0x61C, 0x180E, 0xFEFF}
 
 
-def normalize(text: str) -> tuple[str, list[tuple[int, int]] | None]:
-    """Detection view of ``text`` and, for each of its UTF-8 bytes, the raw byte range it stands for (None if nothing changed)."""
-    if text.isascii():
-        return text, None
-    out: list[str] = []
-    spans: list[tuple[int, int]] = []
-    at = 0
-    for c in text:
-        n, code = len(c.encode()), ord(c)
+_VIEWS: dict[str, str] = {}
+
+
+def _view(c: str) -> str:
+    """What a character becomes in the detection view; remembered, as texts repeat few characters."""
+    if c not in _VIEWS:
+        code = ord(c)
         if code in _IGNORED:
             new = ""
         elif 0xFF01 <= code <= 0xFF5E:
@@ -31,6 +29,19 @@ def normalize(text: str) -> tuple[str, list[tuple[int, int]] | None]:
             new = "-"
         else:
             new = unicodedata.normalize("NFC", c)
+        _VIEWS[c] = new
+    return _VIEWS[c]
+
+
+def normalize(text: str) -> tuple[str, list[tuple[int, int]] | None]:
+    """Detection view of ``text`` and, for each of its UTF-8 bytes, the raw byte range it stands for (None if nothing changed)."""
+    if text.isascii() or all(_view(c) == c for c in set(text)):
+        return text, None
+    out: list[str] = []
+    spans: list[tuple[int, int]] = []
+    at = 0
+    for c in text:
+        n, new = len(c.encode()), _view(c)
         out.append(new)
         size = len(new.encode())
         spans += [(at + i, at + i + 1) for i in range(n)] if new == c else [(at, at + n)] * size

@@ -40,7 +40,7 @@ class Rule:
     complete: bool = False
     needs: tuple[str, ...] = ()  # every one must be in the text
     hints: tuple[str, ...] = ()  # one of them must be in the lower-cased text
-    digits: bool = False  # a digit must be in the text
+    digits: bool = False  # an ASCII digit must be in the text: no match is without one
     word_run: bool = False  # what follows must not be more of an identifier
     zero_country: bool = False  # not the rest of a number that starts +0
     sku: bool = False  # not inside a stock-keeping number
@@ -91,7 +91,7 @@ def iban_pattern(known: bool = True) -> str:
 
 
 def _cued(id_: str, cls: str, cue: str, value: str, hints: tuple[str, ...], fill: str = _FILL, **more) -> Rule:
-    return Rule(id_, cls, rf"(?i)(?:\b|_)(?:{cue}){fill}({value}){_END}", (1,), **({"base": 0.85, "priority": 84, "hints": hints} | more))
+    return Rule(id_, cls, rf"(?i)(?:\b|_)(?:{cue}){fill}({value}){_END}", (1,), **({"base": 0.85, "priority": 84, "hints": hints, "digits": True} | more))
 
 
 def _national(id_: str, cls: str, cue: str, value: str, hints: tuple[str, ...], locales: tuple[str, ...], **more) -> Rule:
@@ -104,17 +104,17 @@ CORE: tuple[Rule, ...] = (
     Rule("email.global", "email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9_])", validator="email_rfc", priority=90, normalizer="email", exclusions=("test.local",), needs=("@",)),
     Rule("email.header.name", "name", rf"(?m)^(?:{_HEADERS}):\s*(?:\"([^\"\n]+)\"|({_NAME}))\s+<[^>\n]+>", (1, 2), base=0.85, priority=100, needs=("<", "@")),
     Rule("email.header.name.paren", "name", rf"(?:(?:{_HEADERS}):|,)\s*\S+@\S+\s*\(([^)\n]+)\)", (1,), base=0.85, priority=100, needs=("@", "(")),
-    Rule("phone.structural", "custom:phone", rf"{_LEFT}\+[1-9][0-9]{{5,14}}(?![0-9A-Za-z_])", validator="e164_phone", needs=("+",), **_PHONE),
+    Rule("phone.structural", "custom:phone", rf"{_LEFT}\+[1-9][0-9]{{5,14}}(?![0-9A-Za-z_])", validator="e164_phone", digits=True, needs=("+",), **_PHONE),
     Rule("phone.e164.spaced", "custom:phone", rf"{_LEFT}((?:\+(?:[235-9][0-9]{{0,2}}|4(?:[0-8][0-9]?|9[0-9]?))|00[1-9][0-9]{{0,2}})[\s./-]+(?:\(0\)[\s./-]*)?(?:[0-9][\s./-]?){{6,14}}[0-9])(?![0-9A-Za-z_])", (1,), "phone_number", priority=79, reject=r"(?i).*\b(?:firmware|build|version|release|part|model)\b.*", digits=True, **_PHONE),
-    Rule("phone.e164.spaced.cued", "custom:phone", rf"{_LABELS}((?:\+|00)[1-9][0-9]{{0,2}}[ ./-]*(?:\(0\)[ ./-]*)?[0-9](?:[ ./-]*[0-9]){{6,14}}|[0-9](?:[ ./-]*[0-9]){{7,14}})(?![0-9A-Za-z_])", (1,), "phone_number", "record", priority=78, hints=("phone", "telefon", "tel", "handy", "mobil", "rufnummer", "call"), **_PHONE),
+    Rule("phone.e164.spaced.cued", "custom:phone", rf"{_LABELS}((?:\+|00)[1-9][0-9]{{0,2}}[ ./-]*(?:\(0\)[ ./-]*)?[0-9](?:[ ./-]*[0-9]){{6,14}}|[0-9](?:[ ./-]*[0-9]){{7,14}})(?![0-9A-Za-z_])", (1,), "phone_number", "record", priority=78, digits=True, hints=("phone", "telefon", "tel", "handy", "mobil", "rufnummer", "call"), **_PHONE),
     Rule("phone.national.de", "custom:phone", rf"{_LEFT}((?:\+49[\s.-]*|0)[1-9][0-9]{{1,4}}[\s./-]*[0-9](?:[\s./-]*[0-9]){{4,10}})(?![0-9A-Za-z_])", (1,), "e164_phone_national_de", locales=_DACH, tier="locale_gated", base=0.82, priority=85, digits=True, zero_country=True, **_PHONE),
     Rule("phone.national.us", "custom:phone", rf"{_LEFT}({_NANP})(?![0-9A-Za-z_])", (1,), "e164_phone_national_us", locales=("en-US",), basis="format", base=0.82, priority=85, digits=True, zero_country=True, **_PHONE),
-    Rule("phone.national.us.cued", "custom:phone", rf"{_LABELS}({_NANP})(?![0-9A-Za-z_])", (1,), "e164_phone_national_us", "record", locales=("en-US",), basis="format", base=0.82, priority=79, hints=("phone", "telefon", "tel", "handy", "mobil", "rufnummer", "call"), **_PHONE),
+    Rule("phone.national.us.cued", "custom:phone", rf"{_LABELS}({_NANP})(?![0-9A-Za-z_])", (1,), "e164_phone_national_us", "record", locales=("en-US",), basis="format", base=0.82, priority=79, digits=True, hints=("phone", "telefon", "tel", "handy", "mobil", "rufnummer", "call"), **_PHONE),
     Rule("iban.structural", "custom:iban", rf"(?<![A-Za-z0-9_]){iban_pattern()}", validator="iban_mod97", on_fail="record", normalizer="iban", family="payment-card-or-iban", variant="iban", precedence=10, anchors=("iban", "konto", "account", "bankverbindung"), digits=True, word_run=True),
-    Rule("iban.cued", "custom:iban", rf"(?i:\biban(?:[ _-]?(?:number|no|nr|nummer|code))?\b)\.?[\"' ]*[:,=]?[^0-9\n.;!?:,=]{{0,32}}?\b({iban_pattern(False)}){_END}", (1,), "iban_mod97", "record", normalizer="iban", hints=("iban",)),
+    Rule("iban.cued", "custom:iban", rf"(?i:\biban(?:[ _-]?(?:number|no|nr|nummer|code))?\b)\.?[\"' ]*[:,=]?[^0-9\n.;!?:,=]{{0,32}}?\b({iban_pattern(False)}){_END}", (1,), "iban_mod97", "record", normalizer="iban", digits=True, hints=("iban",)),
     Rule("card.structural", "custom:credit_card", r"(?<![0-9A-Za-z_])[0-9](?:[\s-]?[0-9])*(?![0-9A-Za-z_])", validator="luhn", family="payment-card-or-iban", variant="pan", precedence=20, digits=True, card_run=True),
-    Rule("card.cued", "custom:credit_card", r"(?i:\b(?:(?:credit|debit|payment|bank|prepaid|gift)[ _-]?)?cards?(?:[ _-]?(?:number|num|no|nr|holder))?\b|\b(?:kredit|debit|bank|ec|giro|geld)?-?karten?(?:nummer|nr)\b|\bkreditkarte\b|\b(?:visa|mastercard|amex|american express|maestro|diners(?: club)?|jcb|unionpay|girocard)\b)\.?[\"' ]*[:,=]?[^0-9\n.;!?:,=]{0,32}?\b([0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[2-6][0-9]{15,18}|3[0-9]{13,14})(?![0-9]|[ -][0-9])", (1,), "luhn", "record", hints=("card", "karte", "visa", "amex", "american express", "maestro", "diners", "jcb", "unionpay")),
-    Rule("card.cued_short", "custom:credit_card", r"(?i:\b(?:(?:credit|debit|payment|bank|prepaid|gift)[ _-]?)?cards?(?:[ _-]?(?:number|num|no|nr))?\b|\bkarten?(?:nummer|nr)\b|\bmaestro\b)\.?[\"' ]*[:=]?[\"' ]*(?i:(?:is|ist|lautet) +)?((?:5[06-9]|6[0-9])[0-9]{2}[ -][0-9]{4}[ -][0-9]{4}|(?:5[06-9]|6[0-9])[0-9]{10,13})(?![0-9]|[ -][0-9])", (1,), "luhn", "record", hints=("card", "karte", "maestro")),
+    Rule("card.cued", "custom:credit_card", r"(?i:\b(?:(?:credit|debit|payment|bank|prepaid|gift)[ _-]?)?cards?(?:[ _-]?(?:number|num|no|nr|holder))?\b|\b(?:kredit|debit|bank|ec|giro|geld)?-?karten?(?:nummer|nr)\b|\bkreditkarte\b|\b(?:visa|mastercard|amex|american express|maestro|diners(?: club)?|jcb|unionpay|girocard)\b)\.?[\"' ]*[:,=]?[^0-9\n.;!?:,=]{0,32}?\b([0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[2-6][0-9]{15,18}|3[0-9]{13,14})(?![0-9]|[ -][0-9])", (1,), "luhn", "record", digits=True, hints=("card", "karte", "visa", "amex", "american express", "maestro", "diners", "jcb", "unionpay")),
+    Rule("card.cued_short", "custom:credit_card", r"(?i:\b(?:(?:credit|debit|payment|bank|prepaid|gift)[ _-]?)?cards?(?:[ _-]?(?:number|num|no|nr))?\b|\bkarten?(?:nummer|nr)\b|\bmaestro\b)\.?[\"' ]*[:=]?[\"' ]*(?i:(?:is|ist|lautet) +)?((?:5[06-9]|6[0-9])[0-9]{2}[ -][0-9]{4}[ -][0-9]{4}|(?:5[06-9]|6[0-9])[0-9]{10,13})(?![0-9]|[ -][0-9])", (1,), "luhn", "record", digits=True, hints=("card", "karte", "maestro")),
     Rule("ip.v4", "custom:ip_address", rf"(?<![0-9A-Za-z_.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z_]|\.[0-9])", validator="ipv4_parse_non_documentation", needs=(".",), digits=True),
     Rule("ip.v6", "custom:ip_address", r"(?<![0-9A-Za-z_:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:[0-9A-Fa-f]{1,4}|(?:[0-9]{1,3}\.){3}[0-9]{1,3})?(?![0-9A-Za-z_:])", validator="ipv6_parse_non_documentation", needs=("::",)),
     Rule("eth.address", "custom:eth_address", r"(?<![0-9A-Za-z_])0x[0-9a-fA-F]{40}(?![0-9A-Za-z_])", validator="eth_eip55", needs=("0x",)),
@@ -139,8 +139,8 @@ CORE: tuple[Rule, ...] = (
         ("postal.gb", r"(?<![#0-9A-Za-z_])(?:GIR {0,2}0AA|[A-Z]{1,2}[0-9][A-Z0-9]? {0,2}[0-9][ABD-HJLNP-UW-Z]{2})(?![0-9A-Za-z_])", (0,), ("en-GB",), "format", "safe_default", 0.8, 72, {"word_run": True}),
         ("postal.ie", r"(?<![0-9A-Za-z_])(?:[AC-FHKNPRTV-Y][0-9]{2}|D6W) {0,2}(?=[0-9]{0,3}[AC-FHKNPRTV-Y])[0-9AC-FHKNPRTV-Y]{4}(?![0-9A-Za-z_])", (0,), ("en-IE",), "format", "safe_default", 0.8, 72, {}),
     )),
-    Rule("postal.cued_four_digit", "custom:postal_code", r"(?i)\b(?:postcode|postal[ \t_-]*code|zip(?:[ \t_-]*code)?)\b[ \t:=\"'-]*(?:is +)?([0-9]{4})(?![0-9A-Za-z_])", (1,), priority=70, hints=("post", "zip")),
-    Rule("postal.cued_short", "custom:postal_code", r"(?i)\b(?:zip(?:[ \t_-]*code)?|post[ \t_-]*code|postal[ \t_-]*code|plz|postleitzahl|cep|postnummer|kod pocztowy|code postal)\b[ \t:=\"'-]*(?:(?:is|ist|lautet) +)?([1-9][0-9]{2} [0-9]{2}|[0-9]{2}-[0-9]{3}|[0-9]{5}-[0-9]{3}|[1-9][0-9]{5}|(?<!plz.{0,9})(?<!zahl.{0,9})[1-9][0-9]{2})(?![0-9]|[ -][0-9])", (1,), priority=70, hints=("zip", "post", "plz", "cep", "pocztowy")),
+    Rule("postal.cued_four_digit", "custom:postal_code", r"(?i)\b(?:postcode|postal[ \t_-]*code|zip(?:[ \t_-]*code)?)\b[ \t:=\"'-]*(?:is +)?([0-9]{4})(?![0-9A-Za-z_])", (1,), priority=70, digits=True, hints=("post", "zip")),
+    Rule("postal.cued_short", "custom:postal_code", r"(?i)\b(?:zip(?:[ \t_-]*code)?|post[ \t_-]*code|postal[ \t_-]*code|plz|postleitzahl|cep|postnummer|kod pocztowy|code postal)\b[ \t:=\"'-]*(?:(?:is|ist|lautet) +)?([1-9][0-9]{2} [0-9]{2}|[0-9]{2}-[0-9]{3}|[0-9]{5}-[0-9]{3}|[1-9][0-9]{5}|(?<!plz.{0,9})(?<!zahl.{0,9})[1-9][0-9]{2})(?![0-9]|[ -][0-9])", (1,), priority=70, digits=True, hints=("zip", "post", "plz", "cep", "pocztowy")),
     Rule("url.anchored", "custom:url", r"(?i)(?<![A-Za-z0-9])(?:https?://|www\.)[^\s\"<>{}\\']*[^\s\"<>{}\\.,;:!?)\]']", base=0.75, priority=85, hints=("http", "www.")),
     _cued("ssn.de_cue", "custom:ssn", r"sozialversicherung(?:s[_-]?(?:nummer|ausweis))?|sv[_-]?nummer|social[\s_-]*insurance(?:[\s_-]*number)?|ahv(?:[\s_-]*(?:number|nummer))?", r"[0-9]{3}[-. ][0-9]{2}[-. ][0-9]{4}|[0-9]{3}[.-][0-9]{4}[.-][0-9]{4}[.-][0-9]{2}|[0-9]{9,11}", ("sozialversicherung", "sv", "social", "ahv"), locales=_DACH, basis="format", base=0.88, priority=86, family="government-id", variant="ssn", precedence=10),
     _cued("tax_number.cue_anchored", "custom:tax_number", r"steuer(?:[_-]?id|[_-]?nummer)?|idnr\.?|tax(?:[ \t_-]?(?:id|number))?|taxpayer|tin", r"[0-9]{3}[ ./-][0-9]{2,4}[ ./-][0-9]{2,4}(?:[ ./-][0-9]{2,4})?", ("steuer", "idnr", "tax", "tin"), complete=True, family="government-id", variant="tax-number", precedence=20),
@@ -152,16 +152,16 @@ CORE: tuple[Rule, ...] = (
         ("driver_license.labelled", "custom:driver_license", r"driver'?s?[ _-]?licen[cs]e(?:[ _-]?(?:number|no\.?|nr\.?|id))?|driving[ _-]?licen[cs]e(?:[ _-]?(?:number|no\.?|id))?|f[uü]hrerschein(?:[ _-]?(?:nummer|nr\.?))?|rijbewijs|permis[ _-]de[ _-]conduire", ("licen", "hrerschein", "rijbewijs", "permis"), {}),
         ("id_card.labelled", "custom:national_id", r"national[ _-]?(?:id|identification)(?:[ _-]?(?:number|no\.?|nr\.?))?|id[ _-]?card(?:[ _-]?(?:number|no\.?|nr\.?|id))?|identity[ _-]?card(?:[ _-]?(?:number|no\.?|id))?|personalausweis(?:[ _-]?(?:nummer|nr\.?))?|carte[ _-]d['’]identit[eé]", ("national", "id", "identity", "personalausweis", "carte"), {"family": "government-id", "variant": "national-id", "precedence": 30}),
     )),
-    Rule("birth_date.cue", "custom:birth_date", rf"(?i)(?:\b|_)(?:(?:dob|date[ _-]?of[ _-]?birth|birth[ _-]?date|birth[ _-]?day|born|geburts[ _-]?datum|geburtstag|geboren|geboortedatum|date[ _-]de[ _-]naissance|data[ _-]de[ _-]nascimento|née|né|fødselsdato|født|fecha[ _-]de[ _-]nacimiento|nacid[oa])\b|d\.o\.b\.?|geb\.)(?:[\s\"'\\:=,()–-]+|(?:is|was|ist|war|lautet|wurde|am|on|of|the|le|est|op|el|es|at)\b){{0,8}}({_DATES})(?![0-9])", (1,), base=0.9, priority=100, hints=("dob", "birth", "born", "geb", "naissance", "nascimento", "né", "fød", "nacim", "nacid", "d.o.b")),
-    Rule("birth_date.answer", "custom:birth_date", rf"(?i)(?:\b|_)(?:dob|date[ _-]?of[ _-]?birth|birth[ _-]?date|birthday|geburts[ _-]?datum|geburtstag)\b[ \t]*[?.!]+[\"'’)\]]*\s+(?:it[’']?s|it\s+is|that[’']?s|es\s+ist|das\s+ist)(?:\s+(?:der|den|am|on|the))?\s+({_DATES})(?![0-9])", (1,), base=0.9, priority=100, hints=("dob", "birth", "geburt")),
-    Rule("age.cue", "custom:age", rf"(?i)\b(?:age|aged|âge|idade|leeftijd|alter)\b[ \"']*[:=]?\s*({_AGE})(?![0-9]|[.,][0-9])", (1,), base=0.9, priority=100, hints=("age", "âge", "idade", "leeftijd", "alter")),
-    Rule("age.phrase", "custom:age", rf"(?i)\b{_AGE}[ -]+(?:years?|yrs?)[ -]+old[ -]+(?:fe)?male[ -]+(?:cat|kitten|dog|puppy|horse|pony|mare|cow|bull|goat|sheep|pig|rabbit|parrot|bird)\b|(?<![0-9.,])({_AGE})(?:[ -]+(?:years?|yrs?)[ -]+old\b| Jahre alt\b| ans\b| años\b| y/o\b)|\b(?:at the age of|im Alter von) ({_AGE})(?![0-9])", (1, 2), base=0.9, priority=100, hints=("old", "jahre", " ans", "años", "y/o", "age of", "alter von")),
+    Rule("birth_date.cue", "custom:birth_date", rf"(?i)(?:\b|_)(?:(?:dob|date[ _-]?of[ _-]?birth|birth[ _-]?date|birth[ _-]?day|born|geburts[ _-]?datum|geburtstag|geboren|geboortedatum|date[ _-]de[ _-]naissance|data[ _-]de[ _-]nascimento|née|né|fødselsdato|født|fecha[ _-]de[ _-]nacimiento|nacid[oa])\b|d\.o\.b\.?|geb\.)(?:[\s\"'\\:=,()–-]+|(?:is|was|ist|war|lautet|wurde|am|on|of|the|le|est|op|el|es|at)\b){{0,8}}({_DATES})(?![0-9])", (1,), base=0.9, priority=100, digits=True, hints=("dob", "birth", "born", "geb", "naissance", "nascimento", "né", "fød", "nacim", "nacid", "d.o.b")),
+    Rule("birth_date.answer", "custom:birth_date", rf"(?i)(?:\b|_)(?:dob|date[ _-]?of[ _-]?birth|birth[ _-]?date|birthday|geburts[ _-]?datum|geburtstag)\b[ \t]*[?.!]+[\"'’)\]]*\s+(?:it[’']?s|it\s+is|that[’']?s|es\s+ist|das\s+ist)(?:\s+(?:der|den|am|on|the))?\s+({_DATES})(?![0-9])", (1,), base=0.9, priority=100, digits=True, hints=("dob", "birth", "geburt")),
+    Rule("age.cue", "custom:age", rf"(?i)\b(?:age|aged|âge|idade|leeftijd|alter)\b[ \"']*[:=]?\s*({_AGE})(?![0-9]|[.,][0-9])", (1,), base=0.9, priority=100, digits=True, hints=("age", "âge", "idade", "leeftijd", "alter")),
+    Rule("age.phrase", "custom:age", rf"(?i)\b{_AGE}[ -]+(?:years?|yrs?)[ -]+old[ -]+(?:fe)?male[ -]+(?:cat|kitten|dog|puppy|horse|pony|mare|cow|bull|goat|sheep|pig|rabbit|parrot|bird)\b|(?<![0-9.,])({_AGE})(?:[ -]+(?:years?|yrs?)[ -]+old\b| Jahre alt\b| ans\b| años\b| y/o\b)|\b(?:at the age of|im Alter von) ({_AGE})(?![0-9])", (1, 2), base=0.9, priority=100, digits=True, hints=("old", "jahre", " ans", "años", "y/o", "age of", "alter von")),
     Rule("security_token.anchored", "custom:security_token", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}|(?i:\b(?:bearer|authorization|api[ _-]?key|access[ _-]?token|secret)\b)[\s:=\"']{1,4}([A-Za-z0-9_+/=-]{20,})(?![A-Za-z0-9])", (1, 0), priority=87, base=0.85, hints=("akia", "eyj", "bearer", "authorization", "api", "access", "secret")),
     Rule("security_token.code", "custom:security_token", r"(?i:(?<![A-Za-z0-9])(?:api[_-]?(?:key|token)|remember[_-]?token|security[_-]?token|access[_-]?(?:token|key)|auth(?:orization)?[_-]?token|secret|token))[\"']?\s*(?:=>|[:=])\s*[\"']([A-Za-z0-9+/_.=-]{8,})[\"']", (1,), priority=100, base=0.9, hints=("api", "token", "secret", "access")),
     Rule("password.field", "custom:password", r"(?i:\b(?:password|passwd|passphrase|passwort|kennwort)\b)[\"']?\s*[:=]\s*([^\s\"',;]{4,})", (1,), priority=100, base=0.9, hints=("passw", "passphrase", "kennwort")),
     Rule("password.code", "custom:password", r"(?i:\b(?:password|passwd|passwort|kennwort)\b)[\"']?\s*(?:=>|[:=])\s*[\"']([^\"'\n]{1,})[\"']", (1,), priority=100, base=0.9, hints=("passw", "kennwort")),
-    Rule("password.hash", "custom:password", r"\$2[abxy]\$[0-9]{2}\$[./A-Za-z0-9]{53}|\$argon2(?:id|i|d)\$v=19\$m=[0-9]+,t=[0-9]+,p=[0-9]+\$[A-Za-z0-9+/]+\$[A-Za-z0-9+/]+|\$[156]\$(?:rounds=[0-9]+\$)?[./A-Za-z0-9]{1,16}\$[./A-Za-z0-9]{22,86}", priority=100, base=0.95, needs=("$",)),
-    Rule("security_token.bare", "custom:security_token", r"(?<![a-z0-9])(?=\S*[0-9])(?:gh[pousr]_[A-Za-z0-9_-]{36,}|github_pat_[A-Za-z0-9_-]{82,}|sk-(?:proj|svcacct|admin|ant)-[A-Za-z0-9_-]{32,}|sk-[A-Za-z0-9]{32}[A-Za-z0-9_-]*|xox[abprs]-[A-Za-z0-9][A-Za-z0-9-]{9,}|xapp-[A-Za-z0-9][A-Za-z0-9-]{9,}|(?:sk|rk)_(?:live|test)_[A-Za-z0-9_-]{24,}|whsec_[A-Za-z0-9_-]{24,}|AIzaSy[A-Za-z0-9_-]{33,})", priority=100, base=0.95, hints=("gh", "sk", "xox", "xapp", "rk_", "whsec", "aizasy")),
+    Rule("password.hash", "custom:password", r"\$2[abxy]\$[0-9]{2}\$[./A-Za-z0-9]{53}|\$argon2(?:id|i|d)\$v=19\$m=[0-9]+,t=[0-9]+,p=[0-9]+\$[A-Za-z0-9+/]+\$[A-Za-z0-9+/]+|\$[156]\$(?:rounds=[0-9]+\$)?[./A-Za-z0-9]{1,16}\$[./A-Za-z0-9]{22,86}", priority=100, base=0.95, digits=True, needs=("$",)),
+    Rule("security_token.bare", "custom:security_token", r"(?<![a-z0-9])(?=\S*[0-9])(?:gh[pousr]_[A-Za-z0-9_-]{36,}|github_pat_[A-Za-z0-9_-]{82,}|sk-(?:proj|svcacct|admin|ant)-[A-Za-z0-9_-]{32,}|sk-[A-Za-z0-9]{32}[A-Za-z0-9_-]*|xox[abprs]-[A-Za-z0-9][A-Za-z0-9-]{9,}|xapp-[A-Za-z0-9][A-Za-z0-9-]{9,}|(?:sk|rk)_(?:live|test)_[A-Za-z0-9_-]{24,}|whsec_[A-Za-z0-9_-]{24,}|AIzaSy[A-Za-z0-9_-]{33,})", priority=100, base=0.95, digits=True, hints=("gh", "sk", "xox", "xapp", "rk_", "whsec", "aizasy")),
     Rule("security_token.pem", "custom:security_token", r"-----BEGIN (?:(?:RSA|EC|DSA|OPENSSH|ENCRYPTED) )?PRIVATE KEY-----\s*[A-Za-z0-9+/=]{16,}[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", priority=100, base=0.95, needs=("PRIVATE KEY",)),
 )
 
