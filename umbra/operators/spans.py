@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def match_spans(text: Column, pattern: str) -> Column:
+def match_spans(text: Column, pattern: str, needs: str = "") -> Column:
     """array<struct<start, end, char_start, value>> of the matches of a pattern that never matches empty.
 
-    Gaps and matches alternate, so offsets are running lengths; ``start`` and ``end`` count UTF-8 bytes.
+    ``needs`` is a literal that every match holds: texts without it aren't searched. Gaps and matches alternate, so offsets are running lengths; ``start`` and ``end`` count UTF-8 bytes.
     """
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
     empty = F.struct(F.lit(0).alias("at"), F.lit(0).alias("chars"), F.expr("cast(array() as array<struct<start:int,`end`:int,char_start:int,value:string>>)").alias("found"))
@@ -24,7 +24,7 @@ def match_spans(text: Column, pattern: str) -> Column:
         one = F.array(F.struct(start.alias("start"), end.alias("end"), chars.alias("char_start"), x["value"].alias("value")))
         return F.struct(end.alias("at"), (chars + F.coalesce(F.length(x["value"]), F.lit(0))).alias("chars"), F.when(x["value"].isNull(), s["found"]).otherwise(F.concat(s["found"], one)).alias("found"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, empty, step, lambda s: s["found"])).otherwise(empty["found"])
+    return F.when((text.contains(needs) & text.rlike(pattern)) if needs else text.rlike(pattern), F.aggregate(pairs, empty, step, lambda s: s["found"])).otherwise(empty["found"])
 
 
 def islands(df: DataFrame, keys: list[str], touching: bool = False) -> DataFrame:

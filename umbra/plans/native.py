@@ -23,6 +23,10 @@ RULES = {
 }
 
 
+#: A literal that every match of a rule holds.
+NEEDS = {"email.global": "@", "phone.national.us": "+1 (", "url.anchored": "://", "security_token.code": ' = "'}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,7 +50,7 @@ def _valid(rule: str, value: Column) -> Column:
 def candidates(docs: DataFrame, rules: dict = RULES, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One scan for all rules: key, session_id, seq, rule, class, priority, start, end, value, valid."""
     def matches(rule, cls, priority, pattern):
-        return F.transform(sp.match_spans(F.col(text), pattern), lambda m: F.struct(F.lit(rule).alias("rule"), F.lit(cls).alias("class"), F.lit(priority).alias("priority"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+        return F.transform(sp.match_spans(F.col(text), pattern, NEEDS.get(rule, "") if RULES.get(rule) == (cls, priority, pattern) else ""), lambda m: F.struct(F.lit(rule).alias("rule"), F.lit(cls).alias("class"), F.lit(priority).alias("priority"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
 
     arrays = [matches(r, *spec) for r, spec in rules.items()]
     more = [c for c in ("session_id", "seq") if c in docs.columns]
@@ -62,8 +66,9 @@ def class_rank(c: Column) -> Column:
 
 
 def resolved(found: DataFrame) -> DataFrame:
-    """Valid candidates that no better overlapping one beats: class, rule priority, length, rule id."""
-    good = sp.islands(found.where("valid"), ["doc_id"])
+    """Valid candidates that no better overlapping one beats: class, rule priority, length, rule id. The texts are matched
+    once, though both sides of the comparison read what was found."""
+    good = sp.islands(cut(found.where("valid")), ["doc_id"])
     rank = F.struct((-class_rank(F.col("class"))).alias("c"), (-F.col("priority")).alias("p"), (F.col("start") - F.col("end")).alias("l"), "rule")
     good = good.withColumn("rank", rank)
     a, b = good.alias("a"), good.select("doc_id", "island", "start", "end", "rank").alias("b")
@@ -83,7 +88,7 @@ def edits(won: DataFrame, policy: list, default: str = "tokenize") -> DataFrame:
 
 def clean(docs: DataFrame, policy: list = (), default: str = "tokenize") -> tuple[DataFrame, DataFrame]:
     """(documents with clean_text and manifest, edits)."""
-    changed = cut(edits(cut(resolved(cut(candidates(docs)))), list(policy), default))
+    changed = cut(edits(cut(resolved(candidates(docs))), list(policy), default))
     return pr.splice(docs, changed.where("action <> 'preserve'")), changed
 
 
