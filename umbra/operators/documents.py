@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Mapping, Sequence
+from operator import itemgetter
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +19,7 @@ from umbra.operators.cut import cut
 GAP_PART, GAP_LEAST, GAP_SLACK = 6, 48, 24
 
 
-def column_split(words: pd.DataFrame) -> float | None:
+def column_split(words: Mapping[str, Sequence]) -> float | None:
     """The middle of the widest gap between the words' joined extents, if it is wide enough for two columns."""
     spans = sorted((x, x + w) for x, w, t in zip(words["x"], words["w"], words["text"], strict=True) if t and w > 0)
     if len(spans) < 4:
@@ -27,48 +32,78 @@ def column_split(words: pd.DataFrame) -> float | None:
     return at if at is not None and best >= max((right - spans[0][0]) // GAP_PART, GAP_LEAST) else None
 
 
-def _lines(words: pd.DataFrame) -> list[str]:
-    """Lines by distance from their first word; gaps wider than three characters, aligned over lines, make table cells."""
-    words = words.sort_values(["y", "x"])
+def _lines(words: list[tuple]) -> list[str]:
+    """Lines by distance from their first word; gaps wider than three characters, aligned over lines, make table cells.
+    words: (x, y, w, h, text) in order of y and x."""
     lines: list[list] = []
-    for w in words.itertuples():
-        if lines and abs(w.y - lines[-1][0].y) <= max(w.h, lines[-1][0].h):
-            lines[-1].append(w)
+    for word in words:
+        if lines and abs(word[1] - y) <= max(word[3], h):
+            lines[-1].append(word)
         else:
-            lines.append([w])
+            lines.append([word])
+            y, h = word[1], word[3]
     out: list[list[str]] = []
     for line in lines:
-        line.sort(key=lambda w: w.x)
-        cells = [line[0].text]
-        for a, b in zip(line, line[1:], strict=False):
-            wide = b.x - (a.x + a.w) > 3 * a.w / max(1, len(a.text))
-            if wide:
-                cells.append(b.text)
+        line.sort(key=itemgetter(0))
+        x, _, w, _, text = line[0]
+        cells, part, right, gap = [], [text], x + w, 3 * w / max(1, len(text))
+        for x, _, w, _, text in line[1:]:
+            if x - right > gap:
+                cells.append(" ".join(part))
+                part = [text]
             else:
-                cells[-1] += " " + b.text
-        out.append(cells)
-    text = []
+                part.append(text)
+            right, gap = x + w, 3 * w / max(1, len(text))
+        out.append([*cells, " ".join(part)])
+    text, sizes = [], [0, *map(len, out), 0]
     for i, cells in enumerate(out):
-        near = [len(o) for o in out[max(0, i - 1) : i + 2]]
-        grid = len(cells) > 1 and near.count(len(cells)) > 1
+        n = len(cells)
+        grid = n > 1 and (sizes[i] == n or sizes[i + 2] == n)
         text.append("| " + " | ".join(cells) + " |" if grid else " ".join(cells))
     return text
 
 
-def _page(pdf: pd.DataFrame) -> pd.DataFrame:
-    words = pdf.dropna(subset=["text"])
-    if not len(words):
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "page": pdf["page"].iloc[:1], "text": [""], "words": [0], "conf": [0.0]})
+def _page(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, text: np.ndarray) -> str:
+    words = {"x": x.tolist(), "w": w.tolist(), "text": text.tolist()}
     at = column_split(words)
-    a, b = (words[words["x"] < at], words[words["x"] >= at]) if at is not None else (words, words.iloc[:0])
-    columns = len(b) > 0
-    text = "\n".join(line for part in ((a, b) if columns else (words,)) for line in _lines(part))
-    return pd.DataFrame({"doc_id": [words["doc_id"].iloc[0]], "page": [words["page"].iloc[0]], "text": [text], "words": [len(words)], "conf": [words["conf"].mean()]})
+    order = np.lexsort((x, y))
+    rows = list(zip(*(v[order].tolist() for v in (x, y, w, h, text)), strict=True))
+    left = [r for r in rows if at is not None and r[0] < at]
+    right = [r for r in rows if at is not None and r[0] >= at]
+    return "\n".join(line for part in ((left, right) if right else (rows,)) for line in _lines(part))
+
+
+def pages_of(words: DataFrame) -> DataFrame:
+    """doc_id, page and words, the page's words as one array; a page's words are bounded by the page."""
+    return words.groupBy("doc_id", "page").agg(F.collect_list(F.struct("x", "y", "w", "h", "text", F.col("conf").cast("double").alias("conf"))).alias("words"))
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """doc_id, page, text, words, conf of pages with their words (x, y, w, h, text, conf) as an array."""
+
+    def run(batches):
+        for batch in batches:
+            listed = batch.column("words")
+            flat, ends = listed.flatten(), np.cumsum([0, *(n or 0 for n in pc.list_value_length(listed).to_pylist())])
+            x, y, w, h, text, conf = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("x", "y", "w", "h", "text", "conf"))
+            real = flat.field("text").is_valid().to_numpy(zero_copy_only=False)
+            texts, counts, means = [], [], []
+            for a, b in zip(ends, ends[1:], strict=False):
+                m = np.flatnonzero(real[a:b]) + a
+                c = conf[m].astype(float)
+                c = c[~np.isnan(c)]
+                texts.append(_page(x[m], y[m], w[m], h[m], text[m]) if len(m) else "")
+                counts.append(len(m))
+                means.append(0.0 if not len(m) else float(c.mean()) if len(c) else None)
+            columns = [batch.column("doc_id").cast(pa.int64()), batch.column("page").cast(pa.int32()), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(means, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "page", "text", "words", "conf"])
+
+    return pages.select("doc_id", "page", "words").mapInArrow(run, "doc_id long, page int, text string, words int, conf double")
 
 
 def reading_order(words: DataFrame) -> DataFrame:
-    """doc_id, page, text, words, conf; a page's words are bounded by the page."""
-    return words.groupBy("doc_id", "page").applyInPandas(_page, "doc_id long, page int, text string, words int, conf double")
+    """doc_id, page, text, words, conf of words, one a row (doc_id, page, x, y, w, h, text, conf)."""
+    return read_pages(pages_of(words))
 
 
 def merge_pages(pages: DataFrame) -> DataFrame:
